@@ -1,0 +1,51 @@
+"""One trained model per data folder and session, kept in the checkpoint folder."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+
+from millwright.operators import model
+from millwright.operators.star import enriched_production
+from millwright.session import checkpoint_root, settle
+from millwright.sources.trade_tables import read_trade_tables
+
+# The test tables carry no run number, so a run is known by all its columns.
+RUN_KEY = [
+    "prod_date", "machine_id", "emp_id", "product_id", "shift", "units_made", "units_defective",
+    "downtime_hrs", "temperature", "pressure", "humidity", "vibration_level",
+]
+
+
+def labelled_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return model.with_label(enriched_production(read_trade_tables(spark, folder)))
+
+
+def split_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled runs with their part, made once for training and test."""
+    parts = model.split(labelled_runs(spark, folder), RUN_KEY)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return settle(parts.repartition(spread))
+
+
+_loaded: dict[str, PipelineModel] = {}
+
+
+def trained_model(spark: SparkSession, folder: str) -> PipelineModel:
+    """The model of this session, trained, saved and loaded back the first time."""
+    name = hashlib.sha1(folder.encode()).hexdigest()[:12]
+    path = f"{checkpoint_root(spark)}/models/{spark.sparkContext.applicationId}-{name}"
+    if path not in _loaded:
+        if model.load(spark, path) is None:
+            train = model.training_set(split_runs(spark, folder).where("not is_test"))
+            model.save(model.fit(train), path)
+        _loaded[path] = model.load(spark, path)
+    return _loaded[path]
+
+
+def scored_test_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Test runs with their predictions, made once for all that is read from them."""
+    scored = model.score(trained_model(spark, folder), split_runs(spark, folder).where("is_test"))
+    return settle(scored.select(*RUN_KEY, model.LABEL, model.PREDICTION, model.PROBABILITY))

@@ -6,6 +6,8 @@ of runs, however large, is ever sorted in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -140,8 +142,17 @@ def model_input(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
+def training_set(labelled: DataFrame, *others: str) -> DataFrame:
+    """The inputs and the label, computed once and spread evenly: a forest passes over them many times."""
+    numeric = [c for c in FEATURES if c not in INDEXED.values()]
+    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = model_input(labelled).select(*numeric, *INDEXED, LABEL, *others)
+    return settle(rows.repartition(partitions))
+
+
 def fit(train: DataFrame, **settings) -> PipelineModel:
-    return pipeline(**settings).fit(model_input(train))
+    """Trains on rows from ``training_set``."""
+    return pipeline(**settings).fit(train)
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -290,20 +301,15 @@ def classification_report(scored: DataFrame, label: str = LABEL, prediction: str
 
 
 def cross_validation(labelled: DataFrame, keys: list[str], folds: int = 5, **settings) -> DataFrame:
-    """Accuracy of each fold, with their mean and standard deviation.
-
-    A fold is a plan over the same persisted input; the scores of all folds are one union.
-    """
-    data = model_input(with_fold(labelled, keys, folds)).persist()
-    try:
-        scores = None
-        for k in range(folds):
-            model = fit(data.where(F.col("fold") != k), **settings)
-            result = accuracy(score(model, data.where(F.col("fold") == k)))
-            row = settle(result.select(F.lit(k + 1).alias("fold"), "n", (F.col("correct") / F.col("n")).alias("accuracy")))
-            scores = row if scores is None else scores.unionByName(row)
-    finally:
-        data.unpersist()
+    """Accuracy of each fold, with their mean and standard deviation."""
+    data = training_set(with_fold(labelled, keys, folds), "fold")
+    scores = []
+    for k in range(folds):
+        model = fit(data.where(F.col("fold") != k), **settings)
+        result = accuracy(score(model, data.where(F.col("fold") == k)))
+        share = F.try_divide(F.col("correct"), F.col("n"))
+        scores.append(settle(result.select(F.lit(k + 1).alias("fold"), "n", share.alias("accuracy"))))
+    scores = reduce(DataFrame.unionByName, scores)
     every = Window.partitionBy()  # one row per fold
     return scores.select(
         "fold",

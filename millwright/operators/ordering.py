@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millwright.session import settle
 
-_SLICE, _PLACE, _BEFORE = "_slice", "_place", "_before"
+_SLICE, _PLACE, _BEFORE = "_slice", "_place_in_slice", "_before_slice"
 _ROW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row's place in its task here
 
 

@@ -1,7 +1,7 @@
 """Joins of the facts with their dimensions.
 
-No join carries a broadcast hint: Spark broadcasts a dimension when its size allows and shuffles
-otherwise, splitting hot keys at run time.
+A dimension is broadcast when it was counted and found small; otherwise Spark decides by its own size
+estimate, and beyond that shuffles, splitting hot keys at run time.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ ATTRIBUTES = {
 def dimension(t: FactoryTables, name: str, columns: tuple[str, ...] | None = None) -> DataFrame:
     table = getattr(t, name)
     wanted = ATTRIBUTES[name] if columns is None else columns
-    return table.select(LINKS[name], *[c for c in wanted if c in table.columns])
+    rows = table.select(LINKS[name], *[c for c in wanted if c in table.columns])
+    return F.broadcast(rows) if name in t.small else rows
 
 
 def runs(t: FactoryTables, *wanted: str, later: str | None = None) -> DataFrame:

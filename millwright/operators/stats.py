@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millwright.functions.bands import direction, strength
 from millwright.operators import quantiles as Q
+from millwright.session import settle
 
 
 def correlation(x: str, y: str) -> Column:
@@ -168,7 +169,8 @@ def histogram(df: DataFrame, value: str, by: str, classes: list, bins: int = 20)
     The classes are listed as for a pivot, so the ranges fit in one row.
     """
     v = F.col(value).cast("double")
-    ranges = df.agg(
+    # Settled, so that the one row of ranges is found once for both its uses.
+    ranges = settle(df.agg(
         F.array(
             *[
                 F.struct(
@@ -178,7 +180,7 @@ def histogram(df: DataFrame, value: str, by: str, classes: list, bins: int = 20)
                 for c in classes
             ]
         ).alias("r")
-    )
+    ))
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(by)).cast("int") - 1
     placed = (
         df.where(F.col(by).isin(classes) & v.isNotNull())

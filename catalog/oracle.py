@@ -62,11 +62,23 @@ labelled AS (
 """
 
 UNITS = "CAST(SUM(units_made) AS BIGINT) AS total_units, CAST(SUM(units_defective) AS BIGINT) AS total_defects"
-RATE = "round(CAST(SUM(units_defective) AS DOUBLE) / SUM(units_made) * 100, 2)"
+def ratio(part: str, whole: str, digits: int = 2) -> str:
+    """part / whole * 100 of whole numbers, rounded half up in whole numbers."""
+    scaled = f"(CAST({part} AS HUGEINT) * {200 * 10**digits} + CAST({whole} AS HUGEINT)) // (2 * CAST({whole} AS HUGEINT))"
+    return f"(CAST({scaled} AS DOUBLE) / {10**digits})"
+
+
+RATE = ratio("SUM(units_defective)", "SUM(units_made)")
+ROW_RATE = ratio("units_defective", "units_made")
+ROW_EFFICIENCY = ratio("(units_made - units_defective)", "units_made")
+SCALES = {"downtime_hrs": 2, "temperature": 1, "vibration_level": 2, "revenue": 2}
 
 
 def mean(column: str, digits: int = 6) -> str:
-    return f"round(CAST(SUM({column}) AS DOUBLE) / COUNT({column}), {digits})"
+    """Mean of a decimal column, rounded half up in whole numbers."""
+    one = 10 ** SCALES[column]
+    top = f"CAST(SUM({column}) * {one} AS HUGEINT) * {2 * 10**digits} + COUNT({column}) * {one}"
+    return f"(CAST(({top}) // (CAST(COUNT({column}) AS HUGEINT) * {2 * one}) AS DOUBLE) / {10**digits})"
 
 
 def total(column: str, digits: int = 2) -> str:
@@ -98,7 +110,7 @@ KPIS = """
   SELECT CAST(SUM(units_made) AS BIGINT) AS total_units,
          CAST(SUM(units_made - units_defective) AS BIGINT) AS total_good,
          CAST(SUM(units_defective) AS BIGINT) AS total_defects,
-         round(CAST(SUM(units_defective) AS DOUBLE) / SUM(units_made) * 100, 2) AS defect_rate,
+         {rate} AS defect_rate,
          CAST(round(SUM(downtime_hrs), 1) AS DOUBLE) AS total_downtime,
          (SELECT CAST(round(SUM(revenue), 2) AS DOUBLE) FROM sold) AS total_revenue,
          CAST(round(SUM(revenue_lost), 2) AS DOUBLE) AS total_revenue_lost,
@@ -106,7 +118,7 @@ KPIS = """
          (SELECT CAST(round(SUM(cost), 2) AS DOUBLE) FROM upkeep) AS total_maintenance_cost,
          MIN(prod_date) AS first_date, MAX(prod_date) AS last_date
   FROM star"""
-ROW_KPIS = KPIS.format(efficiency="round(efficiency, 2)")
+ROW_KPIS = KPIS.format(rate=RATE, efficiency=ROW_EFFICIENCY)
 
 FACTORS = [
     "temperature", "pressure", "downtime_hrs", "age_years", "vibration_level", "humidity", "experience_yrs",
@@ -309,8 +321,8 @@ def oracle_sql() -> dict[str, str]:
         "enriched_maintenance": """SELECT maint_id, machine_id, CAST(maint_date AS VARCHAR) AS maint_date, maint_type,
             CAST(cost AS DOUBLE) AS cost, machine_name, department FROM upkeep""",
         "derived_metrics": visible,
-        "rounded_metrics": """SELECT CAST(prod_date AS VARCHAR) AS prod_date, machine_id, emp_id, product_id,
-            round(defect_rate, 2) AS defect_rate, round(efficiency, 2) AS efficiency,
+        "rounded_metrics": f"""SELECT CAST(prod_date AS VARCHAR) AS prod_date, machine_id, emp_id, product_id,
+            {ROW_RATE} AS defect_rate, {ROW_EFFICIENCY} AS efficiency,
             CAST(round(revenue_lost, 2) AS DOUBLE) AS revenue_lost FROM star""",
         "date_labels": """SELECT CAST(prod_date AS VARCHAR) AS prod_date, strftime(prod_date, '%b %Y') AS month_label,
             strftime(prod_date, '%b') AS short_month, strftime(prod_date, '%d %b %Y') AS day_label,
@@ -330,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
             COUNT(*) AS total_runs, round(AVG(CAST(units_defective AS DOUBLE) / units_made * 100), 2)
             AS mean_defect_rate, {mean('temperature', 1)} AS avg_temp FROM production""",
         "kpi_summary": f"""SELECT * REPLACE (CAST(first_date AS VARCHAR) AS first_date,
-            CAST(last_date AS VARCHAR) AS last_date) FROM ({KPIS.format(efficiency='efficiency')})""",
+            CAST(last_date AS VARCHAR) AS last_date) FROM ({KPIS.format(rate=RATE, efficiency='efficiency')})""",
         "machine_performance": PERFORMANCE,
         "shift_analysis": f"""SELECT shift, {UNITS}, COUNT(*) AS total_runs, {mean('downtime_hrs', 2)} AS avg_downtime,
             {mean('temperature')} AS avg_temp, round(AVG(efficiency), 2) AS avg_efficiency, {RATE} AS defect_rate
@@ -379,7 +391,7 @@ def oracle_sql() -> dict[str, str]:
         "best_worst_flags": f""", m AS ({PERFORMANCE})
             SELECT *, defect_rate_pct = (SELECT MIN(defect_rate_pct) FROM m) AS is_best,
                    defect_rate_pct = (SELECT MAX(defect_rate_pct) FROM m) AS is_worst FROM m""",
-        "machine_bands": f""", m AS (SELECT machine_name, round(AVG(round(defect_rate, 2)), 2) AS mean_defect_rate,
+        "machine_bands": f""", m AS (SELECT machine_name, round(AVG({ROW_RATE}), 2) AS mean_defect_rate,
               {mean('downtime_hrs', 2)} AS avg_downtime, CAST(SUM(units_made) AS BIGINT) AS total_units,
               {mean('temperature', 2)} AS avg_temp FROM star GROUP BY machine_name),
             o AS (SELECT AVG(mean_defect_rate) AS a FROM m)
@@ -395,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN revenue_lost = peak THEN 'red' WHEN revenue_lost > a THEN 'orange' ELSE 'blue' END AS band
             FROM p, o""",
         "worst_runs": _WORST.format(rate="defect_rate"),
-        "worst_runs_rounded": _WORST.format(rate="round(defect_rate, 2)"),
+        "worst_runs_rounded": _WORST.format(rate=ROW_RATE),
         "best_worst_picks": _PICKS + " SELECT * FROM picks",
         "machine_status": f""", m AS ({MACHINES}),
             o AS (SELECT AVG(defect_rate) AS a, MIN(defect_rate) AS lo, MAX(defect_rate) AS hi FROM m)
@@ -435,23 +447,22 @@ def oracle_sql() -> dict[str, str]:
         "rate_histogram": _HISTOGRAM,
         "high_defect_label": """SELECT CAST(prod_date AS VARCHAR) AS prod_date, machine_id, emp_id, product_id,
             defect_rate, high_defect FROM labelled""",
-        "label_balance": """SELECT high_defect, COUNT(*) AS n,
-            round(COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) * 100, 1) AS share_pct
+        "label_balance": f"""SELECT high_defect, COUNT(*) AS n, {ratio('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 1)} AS share_pct
             FROM labelled GROUP BY high_defect""",
         "category_encoding": _each(
             "SELECT '{v}' AS \"column\", category, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INT) AS code "
             "FROM (SELECT DISTINCT {v} AS category FROM star)",
             ["shift", "department", "product_name"],
         ),
-        "confusion_matrix": _OUTCOMES + """, c AS (
+        "confusion_matrix": _OUTCOMES + f""", c AS (
             SELECT 0 AS actual, 0 AS predicted, tn AS n FROM o UNION ALL SELECT 0, 1, fp FROM o
             UNION ALL SELECT 1, 0, fn FROM o UNION ALL SELECT 1, 1, tp FROM o)
             SELECT actual, predicted, CAST(n AS BIGINT) AS n,
-                   round(n * 100.0 / SUM(n) OVER (PARTITION BY actual), 1) AS row_pct FROM c""",
+                   {ratio('n', 'SUM(n) OVER (PARTITION BY actual)', 1)} AS row_pct FROM c""",
         "classification_report": _CLASS_REPORT,
-        "rule_accuracy": _OUTCOMES + """ SELECT CAST(n AS BIGINT) AS n, CAST(tn + tp AS BIGINT) AS correct,
+        "rule_accuracy": _OUTCOMES + f""" SELECT CAST(n AS BIGINT) AS n, CAST(tn + tp AS BIGINT) AS correct,
             CAST(fp + fn AS BIGINT) AS wrong, CAST(fp AS BIGINT) AS false_alarms, CAST(fn AS BIGINT) AS missed,
-            round(acc * 100, 2) AS accuracy_pct FROM q""",
+            {ratio('tn + tp', 'n')} AS accuracy_pct FROM q""",
         "kpi_targets": f""", k AS ({ROW_KPIS})
             SELECT 'total_units' AS kpi, CAST(total_units AS DOUBLE) AS value, CAST(900000 AS DOUBLE) AS target,
                    round(total_units - CAST(900000 AS DOUBLE), 2) AS delta, CAST(NULL AS VARCHAR) AS band FROM k

@@ -15,16 +15,31 @@ def ratio_pct(part: Column | str, whole: Column | str) -> Column:
     return F.try_divide(_col(part).cast("double"), _col(whole).cast("double")) * 100
 
 
+def rounded_ratio(
+    part: Column | str, whole: Column | str, digits: int = 2, whole_numbers: str = "decimal(38,0)"
+) -> Column:
+    """part / whole * 100 of two whole numbers of 0 or more, rounded half up without binary error.
+
+    A tie such as 844 / 16000 = 5.275 % rounds up in any order of addition and in any engine. Sums are
+    taken as decimals, which cannot overflow; single runs fit ``bigint``.
+    """
+    part, whole = _col(part).cast(whole_numbers), F.nullif(_col(whole), F.lit(0)).cast(whole_numbers)
+    scaled = F.call_function("div", part * F.lit(200 * 10**digits) + whole, whole * 2)
+    return scaled / F.lit(float(10**digits))
+
+
 def defect_rate(digits: int | None = None) -> Column:
     """Defects of one run in percent of the units made."""
-    rate = ratio_pct("units_defective", "units_made")
-    return rate if digits is None else F.round(rate, digits)
+    if digits is None:
+        return ratio_pct("units_defective", "units_made")
+    return rounded_ratio("units_defective", "units_made", digits, "bigint")
 
 
 def efficiency(digits: int | None = None) -> Column:
     """Good units of one run in percent of the units made."""
-    share = ratio_pct(good_units(), "units_made")
-    return share if digits is None else F.round(share, digits)
+    if digits is None:
+        return ratio_pct(good_units(), "units_made")
+    return rounded_ratio(good_units(), "units_made", digits, "bigint")
 
 
 def good_units() -> Column:
@@ -44,6 +59,3 @@ def month_key(day: Column | str) -> Column:
 def iso_week(day: Column | str) -> Column:
     return F.weekofyear(_col(day))
 
-
-def rounded_ratio(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
-    return F.round(ratio_pct(part, whole), digits)

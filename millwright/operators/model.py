@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millwright.functions import bands, text
+from millwright.functions import bands, metrics, text
 from millwright.operators.ordering import running_total
 from millwright.operators.quantiles import quantiles
 from millwright.session import settle
@@ -50,7 +50,7 @@ def with_label(df: DataFrame, threshold: DataFrame | None = None, rate: str = "d
 def label_balance(labelled: DataFrame) -> DataFrame:
     counts = labelled.groupBy(LABEL).agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy())  # two rows
-    return counts.withColumn("share_pct", F.round(F.col("n") / whole * 100, 1))
+    return counts.withColumn("share_pct", metrics.rounded_ratio("n", whole, 1))
 
 
 def encode_categories(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -231,7 +231,7 @@ def confusion_matrix(scored: DataFrame, label: str = LABEL, prediction: str = PR
     mine = F.filter("seen", lambda c: (c.actual == F.col("actual")) & (c.predicted == F.col("predicted")))
     filled = cells.select("actual", "predicted", F.coalesce(F.get(mine, F.lit(0)).getField("n"), F.lit(0)).alias("n"))
     of_actual = F.sum("n").over(Window.partitionBy("actual"))
-    return filled.withColumn("row_pct", F.round(F.try_divide(F.col("n") * 100.0, of_actual), 1))
+    return filled.withColumn("row_pct", metrics.rounded_ratio("n", of_actual, 1))
 
 
 def _outcomes(scored: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -256,7 +256,7 @@ def accuracy(scored: DataFrame, label: str = LABEL, prediction: str = PREDICTION
         (F.col("fp") + F.col("fn")).cast("bigint").alias("wrong"),
         F.col("fp").cast("bigint").alias("false_alarms"),
         F.col("fn").cast("bigint").alias("missed"),
-        F.round(F.try_divide(right, n) * 100, 2).alias("accuracy_pct"),
+        metrics.rounded_ratio(right, n).alias("accuracy_pct"),
     )
 
 

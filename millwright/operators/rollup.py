@@ -41,8 +41,8 @@ class Rollup:
         return _grouped(summary, keys).agg(*[F.sum(n).alias(n) for n in names], *(extra or []))
 
     def finished(self, summary: DataFrame) -> DataFrame:
-        """Means from their sums and counts, each column by its output name."""
-        means = {n: F.try_divide(F.col(f"{n}_sum").cast("double"), F.col(f"{n}_n")) for n in self.means}
+        """Means from their sums and counts; a mean of decimals stays decimal, so that it rounds exactly."""
+        means = {n: F.try_divide(f"{n}_sum", F.col(f"{n}_n").cast("decimal(20,0)")) for n in self.means}
         parts = [f"{n}_{part}" for n in self.means for part in ("sum", "n")]
         return summary.withColumns(means).drop(*parts) if means else summary
 

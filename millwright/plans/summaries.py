@@ -208,7 +208,7 @@ def sales_by_product(t: FactoryTables) -> DataFrame:
     table = _sold(t).groupBy("product_name").agg(
         F.sum("total_qty").alias("total_qty"),
         F.sum("total_revenue").alias("total_revenue"),
-        F.try_divide(F.sum("total_revenue").cast("double"), F.sum("n")).alias("avg_price"),
+        F.try_divide(F.sum("total_revenue"), F.sum("n").cast("decimal(20,0)")).alias("avg_price"),
     )
     return rounded(table, total_revenue=2, avg_price=6).orderBy(F.desc("total_revenue"), "product_name")
 

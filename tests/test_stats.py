@@ -1,0 +1,170 @@
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import by, rows
+from pyspark.sql import functions as F
+
+from millwright.functions import bands, metrics, text
+from millwright.operators import ranking, stats
+
+
+@pytest.fixture(scope="module")
+def frame():
+    rng = np.random.default_rng(3)
+    x = rng.normal(70, 10, 500)
+    df = pd.DataFrame(
+        {
+            "shift": rng.choice(["Morning", "Evening", "Night"], 500),
+            "x": x,
+            "y": 0.1 * x + rng.normal(0, 1, 500),
+            "z": rng.exponential(2, 500),
+            "one": 4.0,
+        }
+    )
+    df.loc[::7, "y"] = np.nan
+    df.loc[::11, "z"] = np.nan
+    return df
+
+
+@pytest.fixture(scope="module")
+def df(spark, frame):
+    values = [tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in frame.itertuples(index=False)]
+    return spark.createDataFrame(values, "shift string, x double, y double, z double, one double").repartition(3)
+
+
+def test_correlation_matrix_equals_pandas(df, frame):
+    names = ["x", "y", "z", "one"]
+    cells = {(r["row_name"], r["col_name"]): r["correlation"] for r in rows(stats.correlation_matrix(df, names, 6))}
+    assert len(cells) == 16
+    want = frame[names].corr()
+    for (a, b), r in cells.items():
+        if "one" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-6)
+
+
+def test_lower_triangle_of_ten(spark):
+    names = [f"c{i}" for i in range(10)]
+    df = spark.range(50).select(*[F.sin(F.col("id") * (i + 1)).alias(n) for i, n in enumerate(names)])
+    matrix = stats.correlation_matrix(df, names)
+    assert matrix.count() == 100 and stats.lower_triangle(matrix).count() == 45
+
+
+def test_correlation_factors(df):
+    found = by(stats.correlation_factors(df, "y", ["x", "z", "one"]), "factor")
+    assert found["x"]["strength"] == "Strong" and found["x"]["direction"] == "Positive (bad)"
+    assert found["one"]["correlation"] is None
+    assert (found["one"]["strength"], found["one"]["direction"]) == ("Weak", "Neutral")
+
+
+def test_describe_equals_pandas(df, frame):
+    found = by(stats.describe(df, ["x", "y", "z", "one"], 6), "column")
+    want = frame[["x", "y", "z", "one"]].describe()
+    for c in want.columns:
+        for pandas_name, name in zip(
+            ["count", "mean", "std", "min", "25%", "50%", "75%", "max"],
+            ["count", "mean", "std", "min", "p25", "p50", "p75", "max"],
+        ):
+            assert found[c][name] == pytest.approx(want.loc[pandas_name, c], abs=2e-6)
+
+
+def test_describe_of_one_row(spark):
+    got = rows(stats.describe(spark.createDataFrame([(2.0,)], "v double"), ["v"]))[0]
+    assert got["std"] is None and got["p50"] == 2.0
+
+
+def test_line_equals_polyfit(df, frame):
+    fit = stats.line_fit(df.where("y is not null"), "x", "y")
+    clean = frame.dropna(subset=["y"])
+    slope, intercept = np.polyfit(clean.x, clean.y, 1)
+    got = rows(fit)[0]
+    assert got["slope"] == pytest.approx(slope) and got["intercept"] == pytest.approx(intercept)
+    line = rows(stats.line_points(fit).orderBy("point"))
+    assert len(line) == 100
+    np.testing.assert_allclose([p["x"] for p in line], np.linspace(clean.x.min(), clean.x.max(), 100))
+    np.testing.assert_allclose([p["y"] for p in line], slope * np.array([p["x"] for p in line]) + intercept)
+
+
+def test_boxes_and_outliers(df, frame):
+    order = ["Morning", "Evening", "Night"]
+    boxes = rows(stats.box_statistics(df, "z", "shift", order))
+    assert [b["shift"] for b in boxes] == order
+    beyond = rows(stats.outliers(df, "z", "shift", order))
+    for b in boxes:
+        values = frame[frame["shift"] == b["shift"]]["z"].dropna().to_numpy()
+        q1, q2, q3 = np.quantile(values, [0.25, 0.5, 0.75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = values[(values >= low) & (values <= high)]
+        out = values[(values < low) | (values > high)]
+        want = (inside.min(), q1, q2, q3, inside.max())
+        got = tuple(b[c] for c in ("whisker_low", "q1", "median", "q3", "whisker_high"))
+        assert got == pytest.approx(want, abs=1e-6)
+        assert b["outliers"] == len(out) and b["n"] == len(values)
+        mine = sorted(r["z"] for r in beyond if r["shift"] == b["shift"])
+        assert mine == pytest.approx(sorted(out), abs=1e-6)
+
+
+def test_histogram_equals_numpy(df, frame):
+    bins = rows(stats.histogram(df, "z", "shift", ["Night", "Morning"]))
+    for shift in ("Night", "Morning"):
+        mine = sorted((b for b in bins if b["shift"] == shift), key=lambda b: b["bin"])
+        counts, edges = np.histogram(frame[frame["shift"] == shift]["z"].dropna(), bins=20)
+        assert [b["n"] for b in mine] == list(counts)
+        np.testing.assert_allclose([b["bin_low"] for b in mine], edges[:-1], atol=1e-5)
+
+
+def test_histogram_of_a_constant(spark):
+    df = spark.createDataFrame([("a", 3.0)] * 4, "k string, v double")
+    bins = rows(stats.histogram(df, "v", "k", ["a", "absent"]).orderBy("bin"))
+    counts, edges = np.histogram([3.0] * 4, bins=20)
+    assert [b["n"] for b in bins] == list(counts)
+    np.testing.assert_allclose([b["bin_low"] for b in bins], edges[:-1])
+
+
+def test_ties_at_the_cut(spark):
+    df = spark.createDataFrame([("c", 9), ("a", 9), ("b", 9), ("d", 1), ("e", None)], "k string, v int")
+    assert [(r["rank"], r["k"]) for r in rows(ranking.top_rows(df, "v", ["k"], ["k", "v"], 2))] == [(1, "a"), (2, "b")]
+    assert rows(ranking.pick(df, "v", ["k"], True))[0]["k"] == "a"
+    assert rows(ranking.pick(df, "v", ["k"], False))[0]["k"] == "d"
+
+
+def test_trend(spark):
+    df = spark.createDataFrame([("1", 0.0), ("2", 0.0), ("3", 2.0), ("4", 1.0)], "month string, v double")
+    assert [r["trend"] for r in rows(ranking.with_trend(df, "v").orderBy("month"))] == ["", "same", "up", "down"]
+
+
+@pytest.mark.parametrize(
+    "value,good,bad,reverse,want",
+    [
+        (2.5, 2.5, 3.5, True, "green"), (3.5, 2.5, 3.5, True, "red"), (3.0, 2.5, 3.5, True, "orange"),
+        (95, 95, 80, False, "green"), (80, 95, 80, False, "red"), (90, 95, 80, False, "orange"),
+    ],
+)
+def test_status(spark, value, good, bad, reverse, want):
+    one = spark.range(1).select(bands.status(F.lit(value), good, bad, reverse).alias("s"))
+    assert one.first()["s"] == want
+
+
+def test_ratios_round_up_at_ties(spark):
+    df = spark.createDataFrame([(844, 16000), (1, 8), (0, 5), (3, 0)], "p long, w long")
+    got = [r["r"] for r in rows(df.select(metrics.rounded_ratio("p", "w").alias("r")))]
+    assert got == [5.28, 12.5, 0.0, None]
+
+
+def test_texts(spark):
+    got = spark.range(1).select(
+        text.shortened(F.lit("Hydraulic Press Beta"), 12).alias("short"),
+        text.thousands(F.lit(1234567.8)).alias("thousands"),
+        text.with_suffix(F.lit(3.5), "%").alias("suffix"),
+        text.hash_bar(F.lit(0.25), 20).alias("bar"),
+        text.month_label(F.to_date(F.lit("2024-03-09"))).alias("month"),
+        bands.percent_of(F.lit(45.0), 30.0).alias("pct"),
+        bands.gauge_band(F.lit(5.0)).alias("gauge"),
+    ).first().asDict()
+    assert got == {
+        "short": "Hydraulic Pr", "thousands": "1,234,568", "suffix": "3.5%", "bar": "#####", "month": "Mar 2024",
+        "pct": 100, "gauge": "danger",
+    }

@@ -22,6 +22,23 @@ def pick(df: DataFrame, by: str, ties: list[str], highest: bool) -> DataFrame:
     return rows.orderBy(F.desc(by) if highest else F.asc(by), *ties).limit(1)
 
 
+def best_and_worst(summary: DataFrame, rate: str, ties: list[str], columns: list[str]) -> DataFrame:
+    """Two rows, ``which`` = best (lowest rate) and worst (highest), from one pass over the summary.
+
+    Among equals the first in the order of ``ties`` is taken.
+    """
+    row = F.struct(*columns).alias("row")
+    order = [F.col(c).alias(f"tie{i}") for i, c in enumerate(ties)]
+    best = F.min(F.struct(F.col(rate).alias("rate"), *order, row))
+    worst = F.min(F.struct((-F.col(rate)).alias("rate"), *order, row))
+    pair = F.array(
+        F.struct(F.lit("best").alias("which"), best.getField("row").alias("row")),
+        F.struct(F.lit("worst").alias("which"), worst.getField("row").alias("row")),
+    )
+    found = summary.where(F.col(rate).isNotNull()).agg(pair.alias("pair"))
+    return found.select(F.inline("pair")).where("row IS NOT NULL").select("which", "row.*")
+
+
 def with_best_worst(summary: DataFrame, rate: str) -> DataFrame:
     """Flags the rows at the lowest (best) and highest (worst) rate; a tie flags them all."""
     flagged = with_overall(summary, _low=F.min(rate), _high=F.max(rate))

@@ -65,70 +65,74 @@ def month_status(t: FactoryTables) -> DataFrame:
 
 def best_worst_picks(t: FactoryTables) -> DataFrame:
     """(what, name, value): the best and worst machine, shift and month."""
-    machines = settle(summaries.report_machines(t))
-    shifts = settle(summaries.report_shifts(t))
-    months = settle(summaries.report_months(t))
 
-    def named(what: str, df: DataFrame, rate: str, name: str, ties: list[str], highest: bool) -> DataFrame:
-        row = ranking.pick(df, rate, ties, highest)
-        return row.select(F.lit(what).alias("what"), F.col(name).alias("name"), F.col(rate).alias("value"))
+    def named(summary: DataFrame, what: str, rate: str, name: str, tie: str) -> DataFrame:
+        pair = ranking.best_and_worst(summary, rate, [tie], [name, rate])
+        return pair.select(
+            F.concat("which", F.lit(f"_{what}")).alias("what"), F.col(name).alias("name"), F.col(rate).alias("value")
+        )
 
     parts = [
-        named("best_machine", machines, "defect_rate", "machine_name", ["machine_id"], False),
-        named("worst_machine", machines, "defect_rate", "machine_name", ["machine_id"], True),
-        named("best_shift", shifts, "defect_rate", "shift", ["shift"], False),
-        named("worst_shift", shifts, "defect_rate", "shift", ["shift"], True),
-        named("best_month", months, "defect_pct", "month", ["month"], False),
-        named("worst_month", months, "defect_pct", "month", ["month"], True),
+        named(summaries.report_machines(t), "machine", "defect_rate", "machine_name", "machine_id"),
+        named(summaries.report_shifts(t), "shift", "defect_rate", "shift", "shift"),
+        named(summaries.report_months(t), "month", "defect_pct", "month", "month"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def insights(t: FactoryTables, importance: DataFrame | None = None, saving: float = 0.33) -> DataFrame:
-    """(topic, message), each found in the data; the predictor's row needs a model's importances.
+    """(position, topic, message), each found in the data; the predictor's row needs a model's importances.
 
     ``saving`` is the share of the loss that a rate one point lower is taken to save.
     """
-    machines = settle(summaries.report_machines(t))
-    shifts = summaries.report_shifts(t)
-    months = summaries.report_months(t)
-    money = summaries.kpi_summary(t, round_rows=True).select("total_revenue_lost", "total_revenue")
 
-    def row(df: DataFrame, order: int, topic: Column | str, *parts) -> DataFrame:
-        words = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-        topic = topic if isinstance(topic, Column) else F.lit(topic)
-        return df.select(F.lit(order).alias("position"), topic.alias("topic"), F.concat(*words).alias("message"))
+    def line(position: Column | int, topic: Column | str, *parts: Column | str) -> list[Column]:
+        def column(x):
+            return x if isinstance(x, Column) else F.lit(x)
+
+        return [
+            column(position).alias("position"),
+            column(topic).alias("topic"),
+            F.concat(*[column(p) for p in parts]).alias("message"),
+        ]
 
     rate = F.format_number("defect_rate", 2)
+    worst = F.col("which") == "worst"
+    machines = ranking.best_and_worst(
+        summaries.report_machines(t), "defect_rate", ["machine_id"], ["machine_name", "defect_rate", "age_years"]
+    )
+    shifts = ranking.best_and_worst(summaries.report_shifts(t), "defect_rate", ["shift"], ["shift", "defect_rate"])
+    months = ranking.best_and_worst(summaries.report_months(t), "defect_pct", ["month"], ["month", "defect_pct"])
+    money = summaries.kpi_summary(t, round_rows=True).select("total_revenue_lost", "total_revenue")
     lost = F.col("total_revenue_lost")
     share = F.round(F.try_divide(lost, F.col("total_revenue")) * 100, 1)
+    age = F.when(worst, F.concat(F.lit(" Age: "), F.col("age_years").cast("string"), F.lit(" years."))).otherwise("")
     found = [
-        row(
-            ranking.pick(machines, "defect_rate", ["machine_id"], True), 1, "Worst machine",
-            F.col("machine_name"), " has the highest defect rate: ", rate, "%. Age: ",
-            F.col("age_years").cast("string"), " years.",
-        ),
-        row(
-            ranking.pick(machines, "defect_rate", ["machine_id"], False), 2, "Best machine",
-            F.col("machine_name"), " has the lowest defect rate: ", rate, "%.",
+        machines.select(
+            *line(
+                F.when(worst, 1).otherwise(2),
+                F.when(worst, "Worst machine").otherwise("Best machine"),
+                F.col("machine_name"), " has the ", F.when(worst, "highest").otherwise("lowest"), " defect rate: ",
+                rate, "%.", age,
+            )
         ),
-        row(
-            ranking.pick(shifts, "defect_rate", ["shift"], True), 3, F.concat("shift", F.lit(" shift")),
-            F.col("shift"), " shift has the highest defect rate: ", rate, "%.",
+        shifts.where(worst).select(
+            *line(3, F.concat("shift", F.lit(" shift")), F.col("shift"), " shift has the highest defect rate: ", rate, "%.")
         ),
-        row(
-            money, 5, "Revenue loss",
-            "Rs.", F.format_number(lost, 0), " lost to defective units, ", F.format_number(share, 1),
-            "% of sales. One point less would save about Rs.", F.format_number(F.round(lost * saving), 0), ".",
+        money.select(
+            *line(
+                5, "Revenue loss", "Rs.", F.format_number(lost, 0), " lost to defective units, ",
+                F.format_number(share, 1), "% of sales. One point less would save about Rs.",
+                F.format_number(F.round(lost * saving), 0), ".",
+            )
         ),
-        row(
-            ranking.pick(months, "defect_pct", ["month"], False), 6, "Best month",
-            F.col("month"), " had the lowest defect rate: ", F.format_number("defect_pct", 2), "%.",
+        months.where(~worst).select(
+            *line(6, "Best month", F.col("month"), " had the lowest defect rate: ", F.format_number("defect_pct", 2), "%.")
         ),
     ]
     if importance is not None:
         top = importance.where("rank = 1")
-        found.append(row(top, 4, "Top predictor", F.col("feature"), " matters most for the defect rate."))
+        found.append(top.select(*line(4, "Top predictor", F.col("feature"), " matters most for the defect rate.")))
     return reduce(DataFrame.unionByName, found)
 
 

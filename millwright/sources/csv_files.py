@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.operators.ordering import surrogate_keys
+from millwright.session import settle
 from millwright.sources.schema import PRIMARY_KEYS, SCHEMAS, required_columns
-from millwright.sources.tables import read_table
+from millwright.sources.tables import read_table, within_rows
 
 # Tables whose key is a running number given on insert.
 NUMBERED = ("production", "sales", "maintenance")
@@ -94,5 +95,10 @@ def append(rows: DataFrame, into: str) -> None:
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header, in the order of the summary."""
-    summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A result as CSV with a header, in its own order.
+
+    Up to ``SMALL_ROWS`` rows make one file; a larger result stays in several, whose names sort in order.
+    """
+    summary = settle(summary)
+    whole = summary.coalesce(1) if within_rows(summary) else summary
+    whole.write.mode("overwrite").option("header", True).csv(path)

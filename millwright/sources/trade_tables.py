@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.sources.tables import FactoryTables, within_rows
+from millwright.sources.tables import FactoryTables, spread, within_rows
 
 # The columns read, declared so that no job is spent on finding them.
 COLUMNS = {
@@ -49,7 +49,7 @@ def read_trade_tables(spark: SparkSession, folder: str) -> FactoryTables:
         "CAST(p_retailprice AS DECIMAL(10,2)) AS price_per_unit",
     )
 
-    lines = table("lineitem").selectExpr(
+    lines = spread(table("lineitem"), "l_orderkey").selectExpr(
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate",
         "CAST(l_quantity AS INT) AS q",
         "CAST(round(l_discount * 100) AS INT) AS d",

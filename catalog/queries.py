@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalog import trained
+from catalog import shared
 from millwright.functions import metrics, text
 from millwright.operators import model, ordering, quality, ranking, star, stats
 from millwright.plans import charts, report, summaries
 from millwright.session import checkpoint_root
 from millwright.sources import csv_files
 from millwright.sources.tables import FactoryTables
-from millwright.sources.trade_tables import read_trade_tables
 
 SHIFTS = ["Morning", "Evening", "Night"]
 FACTORS = [
@@ -40,7 +39,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _on_tables(plan: Callable[[FactoryTables], DataFrame]) -> Query:
-    return lambda spark, folder: plain(plan(read_trade_tables(spark, folder)))
+    return lambda spark, folder: plain(plan(shared.factory(spark, folder)))
 
 
 def _on_runs(plan: Callable[[DataFrame], DataFrame]) -> Query:
@@ -108,7 +107,7 @@ def _surrogate_key(t: FactoryTables) -> DataFrame:
 
 def _ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The maintenance table out to CSV under untidy headers, and back in."""
-    visits = read_trade_tables(spark, folder).maintenance
+    visits = shared.factory(spark, folder).maintenance
     path = f"{checkpoint_root(spark)}/ingest/{spark.sparkContext.applicationId}"
     untidy = [f" {c.replace('_', ' ').title()} " for c in visits.columns]
     visits.toDF(*untidy).write.mode("overwrite").option("header", True).csv(path)
@@ -120,7 +119,7 @@ def _ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 def _csv_result(spark: SparkSession, folder: str) -> DataFrame:
     """A summary written as CSV and read back."""
-    table = plain(summaries.monthly_trend(read_trade_tables(spark, folder)))
+    table = plain(summaries.monthly_trend(shared.factory(spark, folder)))
     path = f"{checkpoint_root(spark)}/results/{spark.sparkContext.applicationId}"
     csv_files.write_summary(table, path)
     return spark.read.schema(table.schema).option("header", True).csv(path)
@@ -142,31 +141,31 @@ def _scenarios(t: FactoryTables) -> DataFrame:
 
 
 def _score_scenarios(spark: SparkSession, folder: str) -> DataFrame:
-    cases = _scenarios(read_trade_tables(spark, folder))
-    return model.risk(trained.trained_model(spark, folder), cases)
+    cases = _scenarios(shared.factory(spark, folder))
+    return model.risk(shared.trained_model(spark, folder), cases)
 
 
 def _score_production(spark: SparkSession, folder: str) -> DataFrame:
-    run = star.enriched_production(read_trade_tables(spark, folder))
-    scored = model.score(trained.trained_model(spark, folder), run)
-    return plain(scored.select(*trained.RUN_KEY[:5], "defect_rate", model.PREDICTION, model.PROBABILITY))
+    run = star.enriched_production(shared.factory(spark, folder))
+    scored = model.score(shared.trained_model(spark, folder), run)
+    return plain(scored.select(*shared.RUN_KEY[:5], "defect_rate", model.PREDICTION, model.PROBABILITY))
 
 
 def _scored_test(plan: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: plan(trained.scored_test_runs(spark, folder))
+    return lambda spark, folder: plan(shared.scored_test_runs(spark, folder))
 
 
 def _split_balance(spark: SparkSession, folder: str) -> DataFrame:
-    parts = trained.split_runs(spark, folder)
+    parts = shared.split_runs(spark, folder)
     return parts.groupBy("is_test", model.LABEL).agg(F.count("*").alias("n"))
 
 
 def _importance(spark: SparkSession, folder: str) -> DataFrame:
-    return model.feature_importance(spark, trained.trained_model(spark, folder))
+    return model.feature_importance(spark, shared.trained_model(spark, folder))
 
 
 def _model_insights(spark: SparkSession, folder: str) -> DataFrame:
-    return report.insights(read_trade_tables(spark, folder), _importance(spark, folder))
+    return report.insights(shared.factory(spark, folder), _importance(spark, folder))
 
 
 def queries() -> dict[str, Query]:
@@ -257,11 +256,11 @@ def queries() -> dict[str, Query]:
         "probability_histogram": _scored_test(
             lambda scored: stats.histogram(scored, model.PROBABILITY, model.LABEL, [0, 1])
         ),
-        "prediction_sample": _scored_test(lambda scored: model.prediction_sample(scored, trained.RUN_KEY)),
+        "prediction_sample": _scored_test(lambda scored: model.prediction_sample(scored, shared.RUN_KEY)),
         "score_scenarios": _score_scenarios,
         "score_production": _score_production,
         "cross_validation": lambda spark, folder: model.cross_validation(
-            trained.labelled_runs(spark, folder), trained.RUN_KEY
+            shared.labelled_runs(spark, folder), shared.RUN_KEY
         ),
         # report
         "kpi_targets": _on_tables(charts.kpi_targets),

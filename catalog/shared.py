@@ -1,4 +1,4 @@
-"""One trained model per data folder and session, kept in the checkpoint folder."""
+"""The tables of a folder, and one trained model per folder and session."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millwright.operators import model
 from millwright.operators.star import enriched_production
 from millwright.session import checkpoint_root, settle
+from millwright.sources.tables import FactoryTables
 from millwright.sources.trade_tables import read_trade_tables
 
 # The test tables carry no run number, so a run is known by all its columns.
@@ -19,8 +20,19 @@ RUN_KEY = [
 ]
 
 
+_read: dict[tuple[str, str], FactoryTables] = {}
+
+
+def factory(spark: SparkSession, folder: str) -> FactoryTables:
+    """The tables of a folder, listed and sized once per session; no data is kept."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _read:
+        _read[key] = read_trade_tables(spark, folder)
+    return _read[key]
+
+
 def labelled_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return model.with_label(enriched_production(read_trade_tables(spark, folder)))
+    return model.with_label(enriched_production(factory(spark, folder)))
 
 
 def split_runs(spark: SparkSession, folder: str) -> DataFrame:

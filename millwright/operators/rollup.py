@@ -23,14 +23,14 @@ class Rollup:
     means: dict[str, str] = field(default_factory=dict)
     runs: str | None = None
 
-    def by(self, fact: DataFrame, *keys: str) -> DataFrame:
+    def by(self, fact: DataFrame, *keys: str, extra: list[Column] | None = None) -> DataFrame:
         """Adds up the fact. Rows with a NULL key belong to no group."""
         parts = [F.sum(column).alias(name) for name, column in self.sums.items()]
         for name, column in self.means.items():
             parts += [F.sum(column).alias(f"{name}_sum"), F.count(column).alias(f"{name}_n")]
         if self.runs:
             parts.append(F.count(F.lit(1)).alias(self.runs))
-        return _grouped(fact, keys).agg(*parts)
+        return _grouped(fact, keys).agg(*parts, *(extra or []))
 
     def again(self, summary: DataFrame, *keys: str, extra: list[Column] | None = None) -> DataFrame:
         """Adds up a summary made by ``by``."""

@@ -68,9 +68,8 @@ def monthly_trend(t: FactoryTables) -> DataFrame:
 
 def _months(run: DataFrame, digits: dict[str, int]) -> DataFrame:
     total = Rollup(UNITS, {"avg_downtime": "downtime_hrs", "avg_temp": "temperature"})
-    by_day = total.by(run, "prod_date")
-    month = by_day.withColumn("month", metrics.month_key("prod_date"))
-    table = total.finished(total.again(month, "month"))
+    dated = run.withColumn("month", F.trunc("prod_date", "MM"))  # text is made for the months, not for the runs
+    table = total.finished(total.by(dated, "month")).withColumn("month", metrics.month_key("month"))
     return rounded(_rate(table, "defect_pct"), **digits).orderBy("month")
 
 
@@ -227,8 +226,9 @@ def _known_sales(t: FactoryTables) -> DataFrame:
 
 
 def monthly_sales(t: FactoryTables) -> DataFrame:
-    sale = _known_sales(t).withColumn("month", metrics.month_key("sale_date"))
-    return rounded(Rollup({"revenue": "revenue"}).by(sale, "month"), revenue=2).orderBy("month")
+    sale = _known_sales(t).withColumn("month", F.trunc("sale_date", "MM"))
+    table = Rollup({"revenue": "revenue"}).by(sale, "month").withColumn("month", metrics.month_key("month"))
+    return rounded(table, revenue=2).orderBy("month")
 
 
 def revenue_by_region(t: FactoryTables) -> DataFrame:
@@ -253,9 +253,8 @@ def _production_kpis(t: FactoryTables, round_rows: bool) -> DataFrame:
     total = Rollup(
         {**UNITS, "total_downtime": "downtime_hrs", "total_revenue_lost": "lost"}, {"avg_efficiency": "efficiency"}
     )
-    by_day = total.by(run, "prod_date")
     span = [F.min("prod_date").alias("first_date"), F.max("prod_date").alias("last_date")]
-    return total.finished(total.again(by_day, extra=span))
+    return total.finished(total.by(run, extra=span))
 
 
 def kpi_summary(t: FactoryTables, round_rows: bool = False) -> DataFrame:

@@ -34,6 +34,21 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: So many keys are broadcast to look rows up (some 50 MB in memory); more are joined by shuffling.
+BROADCAST_KEYS = 1_000_000
+
+
+def looked_up(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``keys``, a frame of that distinct column; NULL finds NULL.
+
+    The keys are counted. Few are broadcast, so that wide rows need not be shuffled; else both sides are.
+    """
+    keys = written(keys.select(F.col(key).alias("_key")), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, df[key].eqNullSafe(keys["_key"]), "left_semi")
+
+
 def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
     """Connected groups of an undirected graph: (node, root), root being the group's smallest node.
 

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing
+from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing, url_reputation, warc
+from millwright.llm.common import folder as new_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    return url_reputation.report(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.report(table(spark, folder, "pages"), new_folder(spark, "archive"))
+
+
 def held_out() -> F.Column:
     """Rows whose labels the quality classifier never sees: crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -53,4 +62,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontamination.ORACLE_SQL}
+    return {
+        "op3_url_reputation": url_reputation.ORACLE_SQL,
+        "op6_decontamination": decontamination.ORACLE_SQL,
+        "op8_warc": warc.ORACLE_SQL,
+    }

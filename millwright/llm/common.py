@@ -34,18 +34,19 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: So many keys are broadcast to look rows up (some 50 MB in memory); more are joined by shuffling.
-BROADCAST_KEYS = 1_000_000
+#: So many narrow rows are broadcast (some 100 MB in memory at most); more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 
 
-def looked_up(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` is among ``keys``, a frame of that distinct column; NULL finds NULL.
+def broadcast_if_small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, narrow rows, written and counted; marked for broadcast if few, so that wide rows need no shuffle."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    The keys are counted. Few are broadcast, so that wide rows need not be shuffled; else both sides are.
-    """
-    keys = written(keys.select(F.col(key).alias("_key")), "keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+
+def looked_up(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``keys``, a frame of that distinct column; NULL finds NULL."""
+    keys = broadcast_if_small(keys.select(F.col(key).alias("_key")), "keys")
     return df.join(keys, df[key].eqNullSafe(keys["_key"]), "left_semi")
 
 

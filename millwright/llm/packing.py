@@ -26,8 +26,8 @@ from millwright.llm.common import written
 PART = 60_000
 #: Distinct words a task remembers the ids of.
 REMEMBERED = 400_000
-#: Sequences between which the local search exchanges: the emptiest ones of a part.
-POOL = 300
+#: The local search of a part: sequences a source exchanges with, pieces of a sequence that are tried, and when it ends.
+POOL, WIDEST, SOURCES, STEPS = 200, 12, 40, 3000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -109,64 +109,71 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _sets(bins: list[list[int]], lengths: np.ndarray, owners: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """Sums, sequences and members of every one or two pieces that share a sequence, and of none."""
-    sums, who, members = [], [], []
-    for b in owners:
-        own = bins[b]
-        subsets = [(), *[(i,) for i in own], *[(i, j) for n, i in enumerate(own[:40]) for j in own[n + 1 : 40]]]
-        for s in subsets:
-            sums.append(sum(int(lengths[i]) for i in s))
-            who.append(b)
-            members.append(s)
-    return np.array(sums), np.array(who), members
+def _exchange(source: list[int], targets: list[list[int]], rooms: np.ndarray, lengths: np.ndarray):
+    """The exchange that fills a target most: (gain, given places of source, target, taken places of it), or None.
 
-
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, pool: int = POOL) -> list[list[int]]:
-    """Empty the least full of ``bins`` by moves and exchanges that raise the sum of squared fills."""
+    One or two pieces are given for none or one of a target's, or one piece for two of them.
+    """
+    width = min(WIDEST, max(map(len, targets)))
+    own = np.zeros((len(targets), width + 1), np.int64)  # column 0: nothing is taken
+    for i, members in enumerate(targets):
+        part = lengths[members[:width]]
+        own[i, 1 : 1 + len(part)] = part
+    filled = own > 0
+    filled[:, 0] = True
+    first, second = np.triu_indices(width, 1)
+    pairs = own[:, first + 1] + own[:, second + 1]
+    both = filled[:, first + 1] & filled[:, second + 1]
+    best = None
+    held = source[:WIDEST]
+    gifts = [((i,), int(lengths[i])) for i in held]
+    gifts += [((i, j), int(lengths[i] + lengths[j])) for n, i in enumerate(held) for j in held[n + 1 :]]
+    for given, total in gifts:
+        options = [(own, filled, None)] + ([(pairs, both, 1)] if len(given) == 1 and len(first) else [])
+        for sums, there, two in options:
+            gain = np.where(there, total - sums, 0)
+            gain[gain > rooms[:, None]] = 0
+            at = int(gain.argmax())
+            if gain.flat[at] > 0 and (best is None or gain.flat[at] > best[0]):
+                i, j = divmod(at, gain.shape[1])
+                taken = (int(first[j]), int(second[j])) if two else (j - 1,) if j else ()
+                best = (int(gain.flat[at]), given, i, [targets[i][k] for k in taken])
+    return best
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Empty the least full of ``bins`` by moves and exchanges that raise the sum of squared fills.
+
+    A piece only ever goes to a sequence that is at least as full, so every step raises that sum. The search gives up after
+    ``STEPS`` steps, or when none of the emptiest ``SOURCES`` sequences has a step left.
+    """
     least = -(-int(lengths.sum()) // capacity)
-    fill = [sum(int(lengths[i]) for i in b) for b in bins]
-    stuck: set[int] = set()
-    live = {b for b in range(len(bins)) if fill[b]}
-    while len(live) > least:
-        open_bins = sorted((b for b in live if fill[b] < capacity), key=lambda b: (fill[b], b))
-        start = [b for b in open_bins if b not in stuck]
-        if len(open_bins) < 2 or not start:
+    fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
+    live = len(bins)
+    stuck: list[int] = []
+    for _ in range(STEPS):
+        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
+        if live <= least or len(open_bins) < 2 or len(stuck) >= SOURCES:
             break
-        source = start[0]
-        # The fullest neighbours have the least room; those with more room are tried first.
-        targets = [b for b in open_bins if b != source and fill[b] >= fill[source]][:pool]
-        if not targets:
-            stuck.add(source)
-            continue
-        sums, who, members = _sets(bins, lengths, targets)
-        room = capacity - np.array([fill[b] for b in who.tolist()])
-        best = None
-        own_sums, _, own_members = _sets(bins, lengths, [source])
-        for total, given in zip(own_sums.tolist(), own_members):
-            if not given:
-                continue
-            gain = total - sums
-            fits = (gain > 0) & (gain <= room)
-            if len(given) == 2:  # two for two is no step of this search
-                fits &= np.array([len(m) < 2 for m in members])
-            if fits.any():
-                at = int(np.argmax(np.where(fits, gain, -1)))
-                if best is None or gain[at] > best[0]:
-                    best = (int(gain[at]), given, at)
+        ordered = open_bins[np.argsort(fill[open_bins], kind="stable")]
+        source = next((b for b in ordered.tolist() if b not in stuck), None)
+        if source is None:
+            break
+        near = ordered[(ordered != source) & (fill[ordered] >= fill[source])][:POOL]
+        targets = [bins[b] for b in near.tolist()]
+        best = _exchange(bins[source], targets, capacity - fill[near], lengths) if targets else None
         if best is None:
-            stuck.add(source)
+            stuck.append(source)
             continue
-        gained, given, at = best
-        target, taken = int(who[at]), members[at]
-        bins[target] = [i for i in bins[target] if i not in taken] + list(given)
-        bins[source] = [i for i in bins[source] if i not in given] + list(taken)
+        gained, given, i, taken = best
+        target = int(near[i])
+        bins[target] = [k for k in bins[target] if k not in taken] + list(given)
+        bins[source] = [k for k in bins[source] if k not in given] + list(taken)
         fill[target] += gained
         fill[source] -= gained
-        stuck.discard(target)
-        if not fill[source]:
-            live.discard(source)
-    return [bins[b] for b in sorted(live)]
+        stuck.clear()
+        live -= fill[source] == 0
+    return [b for b in bins if b]
 
 
 def pack(parts: DataFrame, capacity: int = 4096, part: int = PART) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing, url_reputation, warc
+from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing, substring_dedup, url_reputation, warc
 from millwright.llm.common import folder as new_folder
 
 
@@ -21,6 +21,10 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.report(table(spark, folder, "pages"), new_folder(spark, "archive"))
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.report(table(spark, folder, "documents"))
+
+
 def held_out() -> F.Column:
     """Rows whose labels the quality classifier never sees: crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -65,5 +69,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_reputation": url_reputation.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
     }

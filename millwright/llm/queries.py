@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing, substring_dedup, url_reputation, warc
+from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing, search, substring_dedup, url_reputation, warc
 from millwright.llm.common import folder as new_folder
 
 
@@ -17,6 +17,10 @@ def op3_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return url_reputation.report(table(spark, folder, "pages"), table(spark, folder, "labels"))
 
 
+def op7_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.report(table(spark, folder, "documents"))
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.report(table(spark, folder, "pages"), new_folder(spark, "archive"))
 
@@ -70,5 +74,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_reputation": url_reputation.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op7_search": search.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
     }

@@ -99,33 +99,40 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame,
-    key: str,
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
     text: str = "text",
     label: str = "label",
     dictionary_rows: int = 1500,
     curve_rows: int = 20000,
     dictionary_bytes: int = 112640,
 ) -> Model:
-    """Learn from labelled rows: (``key``, ``text``, ``label`` 1 good or 0 bad).
+    """Learn from ``docs`` (``key``, ``text``) that ``labels`` (``key``, ``label`` 1 good or 0 bad) covers.
 
     ``dictionary_rows`` texts of either label, the first by a hash of their key, make the dictionaries. The curve is
     fitted to the differences of at most ``curve_rows`` other rows, taken by the same hash; only their differences and
-    labels come to the driver, never their texts. These two bounds concern the fit alone: every row is scored.
+    labels come to the driver, never their texts. These two bounds concern the fit alone: every row is scored. Rows are
+    picked from the labels, and their keys broadcast to the documents (23,000 at the default bounds).
     """
-    rows = labelled.where(F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(7), key).alias("order")
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(7), key).alias("order")
     )
     half = F.pmod(F.xxhash64(F.lit(11), "order"), F.lit(2)) == 0
-    samples = {}
-    for value in (1, 0):
-        kept = rows.where(half & (F.col("label") == value) & (F.length("text") > 0)).orderBy("order", "text")
-        samples[value] = [r.text.encode("utf-8", "replace") for r in kept.limit(dictionary_rows).select("text").collect()]
+    picked = [rows.where(half & (F.col("label") == v)).orderBy("order", "_key").limit(dictionary_rows) for v in (1, 0)]
+    samples: dict[int, list[bytes]] = {1: [], 0: []}
+    for r in (
+        docs.join(F.broadcast(picked[0].union(picked[1])), docs[key] == F.col("_key")).where(F.length(text) > 0)
+        .select(F.col(text).alias("text"), "label", "order").collect()
+    ):
+        samples[r.label].append((r.order, r.text.encode("utf-8", "replace")))
+    samples = {v: [t for _, t in sorted(x)] for v, x in samples.items()}
     if not samples[0] or not samples[1]:
         raise ValueError("texts of both labels are needed")
     good, bad = (_dictionary(samples[v], dictionary_bytes) for v in (1, 0))
-    rest = rows.where(~half).orderBy("order", "text").limit(curve_rows).repartition("order")
-    seen = _with_sizes(rest, "text", good, bad).select("size_difference", "size_log", "label").toPandas()
+    rest = rows.where(~half).orderBy("order", "_key").limit(curve_rows)
+    rest = docs.join(F.broadcast(rest), docs[key] == F.col("_key")).select(F.col(text).alias("text"), "label", "order")
+    seen = _with_sizes(rest, "text", good, bad).orderBy("order").select("size_difference", "size_log", "label").toPandas()
     if seen["label"].nunique() < 2:
         raise ValueError("rows of both labels are needed for the curve")
     mean = float(seen["size_log"].mean()) if seen["size_log"].notna().any() else 0.0

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import NOT_WORD, ascii_lower, written
+from millwright.llm.common import NOT_WORD, ascii_lower, broadcast_if_small, written
 
 #: So many windows of a benchmark are broadcast at most (about 100 MB); more are joined by shuffling.
 BROADCAST_WINDOWS = 500_000
@@ -147,6 +147,8 @@ def clean(
     found = found.select(F.col(key).alias("_key"), F.col("text_hash").alias("_same"), F.col("spans").alias("_spans"))
     match = docs[key].eqNullSafe(found["_key"]) & (F.xxhash64(docs[text]) == found["_same"])
     if mode == "documents":
+        found = broadcast_if_small(found.select("_key", "_same"), "found")
+        match = docs[key].eqNullSafe(found["_key"]) & (F.xxhash64(docs[text]) == found["_same"])
         return docs.join(found, match, "left_anti")
     if mode != "spans":
         raise ValueError("mode is documents or spans")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import components, looked_up, written
+from millwright.llm.common import broadcast_if_small, components, looked_up, written
 from millwright.llm.shingles import Shingler, factors, min_hashes
 
 TREES, DEPTH = 20, 6
@@ -312,10 +312,11 @@ def _estimated_recall(histogram: np.ndarray, depth: int, threshold: float) -> fl
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest key, and of rows that repeat it the first by text.
+    """``docs`` with one document of each group, that of the smallest key. All columns stay.
 
-    All columns stay.
+    Rows that share that key are one document, and all stay; a row without a key stays.
     """
     joined = join(docs, key, text, threshold)
     gone = joined.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
+    gone = broadcast_if_small(gone, "gone")
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import compression_quality, decontamination, line_dedup, ngram_join, packing, search, substring_dedup, url_reputation, warc
+from millwright.llm import compression_quality, decontamination, license_scan, line_dedup, ngram_join, packing, search, substring_dedup, url_reputation, warc
 from millwright.llm.common import folder as new_folder
 
 
@@ -44,7 +44,11 @@ def op4_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
 def quality_model(docs: DataFrame, labels: DataFrame) -> compression_quality.Model:
     """Fitted to the labelled documents that are not held out."""
     seen = labels.where(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    return compression_quality.fit(docs.select("doc_id", "text").join(seen, "doc_id"), "doc_id")
+    return compression_quality.fit(docs, seen)
+
+
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.report(table(spark, folder, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +76,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_reputation": url_reputation.ORACLE_SQL,
+        "op5_license_scan": license_scan.ORACLE_SQL,
         "op6_decontamination": decontamination.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_search": search.ORACLE_SQL,

@@ -24,8 +24,8 @@ from millwright.llm.common import written
 
 #: Pieces in one part: some 20 MB of Python objects.
 PART = 60_000
-#: Distinct words a task remembers the ids of.
-REMEMBERED = 400_000
+#: Distinct words of a generation that a worker remembers the ids of (some 100 MB).
+REMEMBERED = 500_000
 #: The local search of a part: sequences a source exchanges with, pieces of a sequence that are tried, and when it ends.
 POOL, WIDEST, SOURCES, STEPS = 200, 12, 40, 3000
 
@@ -35,9 +35,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class _Tokens:
     """Token ids as little-endian bytes, word by word, as no token of the vocabulary spans a blank.
 
-    Only blanks, tabs and line ends cut words here; other white space is left to the tokenizer.
+    Only blanks, tabs and line ends cut words here; other white space is left to the tokenizer. Marks after a letter
+    are cut off as well, as the vocabulary's pattern parts letters from them, and ASCII words are lower-cased, as it does.
+    Ids are remembered for as long as a worker lives, in two generations of at most ``REMEMBERED`` words.
     """
 
+    MARKS = ".,;:!?*$#%&|"
+
     def __init__(self, path: str):
         import os
 
@@ -45,19 +49,60 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.cores: list[dict[str, bytes]] = [{}, {}]
+
+    @classmethod
+    def of_worker(cls, path: str) -> "_Tokens":
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_remembered_by_path", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    @staticmethod
+    def _room(generations: list[dict]) -> None:
+        if len(generations[0]) > REMEMBERED:
+            generations[1] = generations[0]
+            generations[0] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        self._room(self.words)
+        known, older = self.words
+        new = {w for ws in split for w in ws if w not in known}
+        for w in [w for w in new if w in older]:
+            known[w] = older[w]
+            new.discard(w)
+        if new:
+            self._learn(new, known)
+        get = known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
+
+    def _learn(self, new: set[str], known: dict[str, bytes]) -> None:
+        self._room(self.cores)
+        cores, older = self.cores
+        parts = {}
+        for w in new:
+            core = w.rstrip(self.MARKS)
+            if not core or not core[-1].isalpha():
+                core = w
+            tail = w[len(core) :]
+            parts[w] = (core.lower() if core.isascii() else core, tail)
+        unknown = []
+        for c in {c for pair in parts.values() for c in pair}:
+            if c not in cores:
+                if c in older:
+                    cores[c] = older[c]
+                else:
+                    unknown.append(c)
+        for i in range(0, len(unknown), 4096):
+            part = unknown[i : i + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                cores[c] = np.array(e.ids, "<u4").tobytes()
+        for w, (core, tail) in parts.items():
+            known[w] = cores[core] + cores[tail]
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = 4096, end: int = 1) -> DataFrame:
@@ -66,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     step = 4 * length
 
     def run(batches):
-        tokens = _Tokens(tokenizer)
+        tokens = _Tokens.of_worker(tokenizer)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(0, len(keys), 256):

@@ -51,7 +51,7 @@ def looked_up(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
-    """Connected groups of an undirected graph: (node, root), root being the group's smallest node.
+    """Connected groups of an undirected graph: (node, root) of all nodes but the roots, a group's smallest nodes.
 
     Large-star and small-star steps in turn: every node hands its neighbours to the smallest node it sees, so the
     longest path shrinks by a factor in each round. All work is grouping and joins on node ids; a hub's rows are

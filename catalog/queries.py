@@ -12,7 +12,7 @@ from catalog import shared
 from millwright.functions import metrics, text
 from millwright.operators import model, ordering, quality, ranking, star, stats
 from millwright.plans import charts, report, summaries
-from millwright.session import checkpoint_root
+from millwright.session import own_folder
 from millwright.sources import csv_files
 from millwright.sources.tables import FactoryTables
 
@@ -108,7 +108,7 @@ def _surrogate_key(t: FactoryTables) -> DataFrame:
 def _ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
     """The maintenance table out to CSV under untidy headers, and back in."""
     visits = shared.factory(spark, folder).maintenance
-    path = f"{checkpoint_root(spark)}/ingest/{spark.sparkContext.applicationId}"
+    path = f"{own_folder(spark, 'ingest')}/{shared.short_name(folder)}"
     untidy = [f" {c.replace('_', ' ').title()} " for c in visits.columns]
     visits.toDF(*untidy).write.mode("overwrite").option("header", True).csv(path)
     schema = visits.schema
@@ -120,8 +120,8 @@ def _ingest_csv(spark: SparkSession, folder: str) -> DataFrame:
 def _csv_result(spark: SparkSession, folder: str) -> DataFrame:
     """A summary written as CSV and read back."""
     table = plain(summaries.monthly_trend(shared.factory(spark, folder)))
-    path = f"{checkpoint_root(spark)}/results/{spark.sparkContext.applicationId}"
-    csv_files.write_summary(table, path)
+    path = f"{own_folder(spark, 'results')}/{shared.short_name(folder)}"
+    csv_files.write_summary(table, path, one_file=True)  # a row a month
     return spark.read.schema(table.schema).option("header", True).csv(path)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from millwright.operators import model
 from millwright.operators.star import enriched_production
-from millwright.session import checkpoint_root, settle
+from millwright.session import own_folder, settle
 from millwright.sources.tables import FactoryTables
 from millwright.sources.trade_tables import read_trade_tables
 
@@ -36,10 +37,24 @@ def labelled_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled runs with their part, made once for training and test."""
-    parts = model.split(labelled_runs(spark, folder), RUN_KEY)
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return settle(parts.repartition(spread))
+    """Labelled runs with their part, settled once per session and folder, for training and test."""
+    return _once(spark, folder, "parts", lambda: settle(model.split(labelled_runs(spark, folder), RUN_KEY)))
+
+
+_settled: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, folder: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A settled table of this session."""
+    key = (spark.sparkContext.applicationId, folder, what)
+    if key not in _settled:
+        _settled[key] = make()
+    return _settled[key]
+
+
+def short_name(folder: str) -> str:
+    """A name for a folder of tables that is good in paths."""
+    return hashlib.sha1(folder.encode()).hexdigest()[:12]
 
 
 _loaded: dict[str, PipelineModel] = {}
@@ -47,8 +62,7 @@ _loaded: dict[str, PipelineModel] = {}
 
 def trained_model(spark: SparkSession, folder: str) -> PipelineModel:
     """The model of this session, trained, saved and loaded back the first time."""
-    name = hashlib.sha1(folder.encode()).hexdigest()[:12]
-    path = f"{checkpoint_root(spark)}/models/{spark.sparkContext.applicationId}-{name}"
+    path = f"{own_folder(spark, 'models')}/{short_name(folder)}"
     if path not in _loaded:
         if model.load(spark, path) is None:
             train = model.training_set(split_runs(spark, folder).where("not is_test"))
@@ -58,6 +72,10 @@ def trained_model(spark: SparkSession, folder: str) -> PipelineModel:
 
 
 def scored_test_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Test runs with their predictions, made once for all that is read from them."""
-    scored = model.score(trained_model(spark, folder), split_runs(spark, folder).where("is_test"))
-    return settle(scored.select(*RUN_KEY, model.LABEL, model.PREDICTION, model.PROBABILITY))
+    """Test runs with their predictions, settled once per session and folder for all that is read from them."""
+
+    def scored() -> DataFrame:
+        runs = model.score(trained_model(spark, folder), split_runs(spark, folder).where("is_test"))
+        return settle(runs.select(*RUN_KEY, model.LABEL, model.PREDICTION, model.PROBABILITY))
+
+    return _once(spark, folder, "scored", scored)

@@ -42,9 +42,14 @@ def defect_threshold(df: DataFrame, rate: str = "defect_rate", p: float = 0.75,
 
 
 def with_label(df: DataFrame, threshold: DataFrame | None = None, rate: str = "defect_rate") -> DataFrame:
-    """high_defect: 1 where the rate is above the threshold, else 0."""
+    """high_defect: 1 where the rate is above the threshold, else 0, also for a run without a rate.
+
+    Where no run has a rate there is no threshold, and evaluating the label raises an error.
+    """
     limit = (threshold if threshold is not None else defect_threshold(df, rate)).scalar()
-    return df.withColumn(LABEL, (F.col(rate) > limit).cast("int"))
+    high = F.coalesce(F.col(rate) > limit, F.lit(False)).cast("int")
+    none = F.raise_error(F.lit("no run has a rate, so there is no threshold")).cast("int")
+    return df.withColumn(LABEL, F.when(limit.isNull(), none).otherwise(high))
 
 
 def label_balance(labelled: DataFrame) -> DataFrame:
@@ -76,24 +81,25 @@ def with_part(
 
     Adds the number of cuts below the row: 0 for the first part, 1 for the second... Rows fall into
     65,536 hash buckets; a cut runs along the edge of a bucket, so each class is divided as asked to
-    within one bucket's rows, and rows with equal keys stay together.
+    within one bucket's rows, and rows with equal keys stay together. Rows without a label are a class of
+    their own, divided like the others.
     """
     bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
-    placed = labelled.withColumn("_bucket", bucket)
-    counts = placed.groupBy(LABEL, "_bucket").agg(F.count("*").alias("n"))  # at most 2 * BUCKETS rows
-    of_class = Window.partitionBy(LABEL)
+    placed = labelled.withColumns({"_bucket": bucket, "_class": F.coalesce(F.col(LABEL), F.lit(-1))})
+    counts = placed.groupBy("_class", "_bucket").agg(F.count("*").alias("n"))  # at most 3 * BUCKETS rows
+    of_class = Window.partitionBy("_class")
     so_far = of_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumns({"_upto": F.sum("n").over(so_far), "_all": F.sum("n").over(of_class)})
     last_of = [
         F.coalesce(F.max(F.when(F.col("_upto") <= F.floor(F.col("_all") * f + 1e-9), F.col("_bucket"))), F.lit(-1))
         for f in fractions
     ]
-    by_class = ranked.groupBy(LABEL).agg(F.array(*last_of).alias("cuts"))
-    cuts = by_class.agg(F.map_from_entries(F.collect_list(F.struct(LABEL, "cuts")))).scalar()
-    mine = F.element_at(cuts, F.col(LABEL))
+    by_class = ranked.groupBy("_class").agg(F.array(*last_of).alias("cuts"))
+    cuts = by_class.agg(F.map_from_entries(F.collect_list(F.struct("_class", "cuts")))).scalar()
+    mine = F.element_at(cuts, F.col("_class"))
     part = sum(((F.col("_bucket") > mine[i]).cast("int") for i in range(1, len(fractions))),
                (F.col("_bucket") > mine[0]).cast("int"))
-    return placed.withColumn(out, part).drop("_bucket")
+    return placed.withColumn(out, part).drop("_bucket", "_class")
 
 
 def split(labelled: DataFrame, keys: list[str], test: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -143,11 +149,11 @@ def model_input(df: DataFrame) -> DataFrame:
 
 
 def training_set(labelled: DataFrame, *others: str) -> DataFrame:
-    """The inputs and the label, computed once and spread evenly: a forest passes over them many times."""
+    """The inputs and the label, computed once and spread evenly, in parts of the size that adaptive execution aims at:
+    a forest passes over them many times."""
     numeric = [c for c in FEATURES if c not in INDEXED.values()]
-    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = model_input(labelled).select(*numeric, *INDEXED, LABEL, *others)
-    return settle(rows.repartition(partitions))
+    return settle(rows.hint("rebalance"))
 
 
 def fit(train: DataFrame, **settings) -> PipelineModel:

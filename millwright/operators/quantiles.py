@@ -6,16 +6,12 @@ counts are settled; everything else (quartiles, whiskers, outliers, moments) is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.operators.ordering import running_total
 from millwright.session import settle
 
-# Up to this many counted values one window task per group will do; beyond it the running total is
-# taken slice by slice.
-WINDOW_LIMIT = 1_000_000
-
 GROUP, VALUE, N, UPTO = "_group", "_value", "_n", "_upto"
 
 
@@ -29,12 +25,11 @@ def value_counts(df: DataFrame, value: str, by: str | None, groups: list) -> Dat
     return settle(pairs.groupBy(GROUP, VALUE).agg(F.count(F.lit(1)).alias(N)))
 
 
-def ranked(counts: DataFrame, window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Adds _upto, the number of rows of the group up to the value, and _total, all its rows."""
-    if counts.count() <= window_limit:
-        group = Window.partitionBy(GROUP)
-        so_far = group.orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({UPTO: F.sum(N).over(so_far), "_total": F.sum(N).over(group)})
+def ranked(counts: DataFrame) -> DataFrame:
+    """Adds _upto, the number of rows of the group up to the value, and _total, all its rows.
+
+    The running total is taken slice by slice, so no group is ever in one task.
+    """
     overall = settle(running_total(counts, [GROUP, VALUE], N, "_overall"))
     # One row for each listed group, so small enough to broadcast.
     starts = overall.groupBy(GROUP).agg(
@@ -60,11 +55,9 @@ def _interpolated(p: float):
     return at(low) + share * (at(high) - at(low))
 
 
-def from_counts(
-    counts: DataFrame, probabilities: dict[str, float], window_limit: int = WINDOW_LIMIT
-) -> DataFrame:
+def from_counts(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """One row per group: _group and a column for each named probability."""
-    rows = ranked(counts, window_limit)
+    rows = ranked(counts)
     return rows.groupBy(GROUP).agg(*[_interpolated(p).alias(n) for n, p in probabilities.items()])
 
 
@@ -75,7 +68,6 @@ def quantiles(
     by: str | None = None,
     groups: list | None = None,
     approx: bool = False,
-    window_limit: int = WINDOW_LIMIT,
 ) -> DataFrame:
     """Quantiles of ``value``, one column for each named probability.
 
@@ -93,5 +85,5 @@ def quantiles(
         ]
         return df.groupBy(by).agg(*found) if by else df.agg(*found)
     counts = value_counts(df, value, by, groups or ["all"])
-    found = from_counts(counts, probabilities, window_limit)
+    found = from_counts(counts, probabilities)
     return found.withColumnRenamed(GROUP, by) if by else found.drop(GROUP)

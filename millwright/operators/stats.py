@@ -37,25 +37,18 @@ def correlation_factors(df: DataFrame, target: str, factors: list[str], digits:
 def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """(row_idx, col_idx, row_name, col_name, correlation) for every pair, in one pass over the data.
 
-    Each row is stacked into its column pairs and added up by pair map-side, so what is shuffled is one
-    row per pair and task, and the generated code stays short enough to be compiled.
+    All pairs are aggregates of one row, so no run is multiplied; the row is turned into pairs at the end.
     """
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    fields = [f for i, j in pairs for f in (F.lit(i), F.lit(j), F.col(columns[i]), F.col(columns[j]))]
     doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    stacked = doubles.select(F.stack(F.lit(len(pairs)), *fields).alias("i", "j", "x", "y"))
-    half = stacked.groupBy("i", "j").agg(F.round(correlation("x", "y"), digits).alias("correlation"))
-    names = F.array(*[F.lit(c) for c in columns])
-    # Each pair once as found and, off the diagonal, once turned round.
-    found, turned = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
-    both = F.when(F.col("i") == F.col("j"), F.array(found)).otherwise(F.array(found, turned))
-    return half.select(F.explode(both).alias("at"), "correlation").select(
-        F.col("at.i").alias("row_idx"),
-        F.col("at.j").alias("col_idx"),
-        names[F.col("at.i")].alias("row_name"),
-        names[F.col("at.j")].alias("col_name"),
-        "correlation",
-    )
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    found = [F.round(correlation(columns[i], columns[j]), digits).alias(f"c{i}_{j}") for i, j in pairs]
+    one_row = doubles.agg(*found)
+    cells = [
+        F.struct(F.lit(i).alias("row_idx"), F.lit(j).alias("col_idx"), F.lit(columns[i]).alias("row_name"),
+                 F.lit(columns[j]).alias("col_name"), F.col(f"c{min(i, j)}_{max(i, j)}").alias("correlation"))
+        for i in range(len(columns)) for j in range(len(columns))
+    ]
+    return one_row.select(F.inline(F.array(*cells)))
 
 
 def lower_triangle(matrix: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millwright.functions import metrics, text
 from millwright.operators.rollup import Rollup, rounded, with_share
 from millwright.operators.star import dimension, runs
+from millwright.session import settle
 from millwright.sources.tables import FactoryTables
 
 UNITS = {"total_units": "units_made", "total_defects": "units_defective"}
@@ -131,15 +132,21 @@ def shift_summary(t: FactoryTables) -> DataFrame:
 
 
 def machine_shift_pivot(t: FactoryTables, shifts: tuple[str, ...] = ("Evening", "Morning", "Night")) -> DataFrame:
-    """Mean of the runs' rates, machines down and shifts across; NULL where a pair has no run."""
+    """Mean of the runs' rates, machines down and shifts across; NULL where a pair has no run.
+
+    ``shifts`` always are columns, in this order; every other shift found follows in alphabetical order.
+    """
     total = Rollup({}, {"rate": "rate"})
     run = runs(t, later="machines").withColumn("rate", metrics.defect_rate())
-    named = total.by(run, "machine_id", "shift").join(
-        dimension(t, "machines", ("machine_name",)), "machine_id"
+    # One row for each machine and shift, settled, so that looking for shifts reads no run again.
+    named = settle(
+        total.by(run, "machine_id", "shift").join(dimension(t, "machines", ("machine_name",)), "machine_id")
     )
+    others = [r.shift for r in named.select("shift").where(~F.col("shift").isin(*shifts)).distinct().collect()]
+    across = [*shifts, *sorted(others)]
     mean = F.round(F.try_divide(F.sum("rate_sum"), F.sum("rate_n")), 2)
-    wide = named.groupBy("machine_name").pivot("shift", list(shifts)).agg(mean)
-    return wide.select("machine_name", *[F.col(s).alias(s.lower()) for s in shifts]).orderBy("machine_name")
+    wide = named.groupBy("machine_name").pivot("shift", across).agg(mean)
+    return wide.select("machine_name", *[F.col(f"`{s}`").alias(s.lower()) for s in across]).orderBy("machine_name")
 
 
 def department_means(t: FactoryTables) -> DataFrame:
@@ -157,14 +164,31 @@ def department_means(t: FactoryTables) -> DataFrame:
 
 
 def department_losses(t: FactoryTables) -> DataFrame:
-    """Units, downtime and money lost by department; the price ties each run to its product."""
-    total = Rollup({**UNITS, "total_downtime": "downtime_hrs", "revenue_lost": "lost"})
-    run = runs(t, "products", later="machines").withColumn("lost", metrics.revenue_lost(2))
-    by_machine = total.by(run, "machine_id").join(dimension(t, "machines", ("department",)), "machine_id")
-    table = rounded(_rate(total.again(by_machine, "department")), total_downtime=1, revenue_lost=0)
+    """Units, downtime and money lost by department.
+
+    Prices have two digits and defects are whole, so pricing the sums by machine and product loses nothing, and the runs
+    themselves never meet the prices.
+    """
+    total = Rollup({**UNITS, "total_downtime": "downtime_hrs"})
+    later = Rollup({**{n: n for n in total.sums}, "revenue_lost": "revenue_lost"})
+    sums = total.by(_unpriced(t), "machine_id", "product_id")
+    priced = _priced(t, sums, "revenue_lost").join(dimension(t, "machines", ("department",)), "machine_id")
+    table = rounded(_rate(later.by(priced, "department")), total_downtime=1, revenue_lost=0)
     return table.orderBy("department")
 
 
+def _unpriced(t: FactoryTables) -> DataFrame:
+    """Runs with an employee; machine and product are joined after adding up by their keys."""
+    fact = t.production
+    return fact if "employees" in t.trusted else fact.join(dimension(t, "employees", ()), "emp_id")
+
+
+def _priced(t: FactoryTables, sums: DataFrame, out: str) -> DataFrame:
+    """Sums by product with their loss: defects at the list price."""
+    lost = F.col("total_defects") * F.col("price_per_unit")
+    return sums.join(dimension(t, "products", ("price_per_unit",)), "product_id").withColumn(out, lost)
+
+
 def monthly_chart(t: FactoryTables) -> DataFrame:
     """Months for a chart: short label, units in thousands, rate and temperature."""
     return _months(runs(t), {"avg_temp": 6}).select(
@@ -246,15 +270,15 @@ def maintenance_cost_by_type(t: FactoryTables) -> DataFrame:
 
 
 def _production_kpis(t: FactoryTables, round_rows: bool) -> DataFrame:
-    digits = 2 if round_rows else None
-    run = runs(t, "products").withColumns(
-        {"efficiency": metrics.efficiency(digits), "lost": metrics.revenue_lost(digits)}
-    )
-    total = Rollup(
-        {**UNITS, "total_downtime": "downtime_hrs", "total_revenue_lost": "lost"}, {"avg_efficiency": "efficiency"}
-    )
+    run = _unpriced(t).withColumn("efficiency", metrics.efficiency(2 if round_rows else None))
+    total = Rollup({**UNITS, "total_downtime": "downtime_hrs"}, {"avg_efficiency": "efficiency"})
     span = [F.min("prod_date").alias("first_date"), F.max("prod_date").alias("last_date")]
-    return total.finished(total.by(run, extra=span))
+    sums = total.by(run, "machine_id", "product_id", extra=span)
+    if "machines" not in t.trusted:
+        sums = sums.join(dimension(t, "machines", ()), "machine_id")
+    priced = _priced(t, sums, "lost")
+    whole = [F.sum("lost").alias("total_revenue_lost"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")]
+    return total.finished(total.again(priced, extra=whole))
 
 
 def kpi_summary(t: FactoryTables, round_rows: bool = False) -> DataFrame:

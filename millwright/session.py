@@ -16,6 +16,8 @@ def local_session(cores: int | str = 8, app: str = "millwright") -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files still make a task for each core
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -48,3 +50,29 @@ def settle(df: DataFrame) -> DataFrame:
     """
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """Where this session keeps written results of a kind, below the shared folder."""
+    return f"{checkpoint_root(spark)}/{name}/{spark.sparkContext.applicationId}"
+
+
+#: Kinds of results that sessions write below the shared folder.
+KINDS = ("ingest", "results", "models", "llm")
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this session settled and wrote into the shared folder; for the end of a session.
+
+    Long sessions set ``spark.cleaner.referenceTracking.cleanCheckpoints`` as well, which drops a settled table when
+    nothing refers to it any more. Nothing settled can be read after this call.
+    """
+    folders = [own_folder(spark, kind) for kind in KINDS]
+    settled = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if settled.isDefined():
+        folders.append(settled.get())
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    root = checkpoint_root(spark)
+    spark.sparkContext.setCheckpointDir(root)  # a new folder for what comes after

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millwright.operators.ordering import surrogate_keys
 from millwright.session import settle
 from millwright.sources.schema import PRIMARY_KEYS, SCHEMAS, required_columns
-from millwright.sources.tables import read_table, within_rows
+from millwright.sources.tables import read_table
 
 # Tables whose key is a running number given on insert.
 NUMBERED = ("production", "sales", "maintenance")
@@ -29,8 +29,9 @@ def read_csv(
     """(good rows, bad rows) of a CSV file with a header.
 
     Every column is read as text and cast to its declared type. A row that loses a value to the cast,
-    misses a required one or has the wrong number of fields goes to the bad rows, as the line it was. A
-    missing path raises an error.
+    misses a required one or has the wrong number of fields goes to the bad rows, as a CSV line that can be
+    read again (fields are quoted where they must be). All files of a folder must have the same header; one
+    that differs raises an error, and so does a missing path.
     """
     raw_header = spark.read.option("header", True).csv(path).columns
     names = [clean_name(h) for h in raw_header]
@@ -39,14 +40,15 @@ def read_csv(
     if unknown or missing or len(set(names)) != len(names):
         raise ValueError(f"CSV columns: unknown {unknown}, missing {missing}, read {names}")
 
-    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*raw_header, "_line"]])
     rows = (
         spark.read.schema(text)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_line")
         .csv(path)
+        .toDF(*names, "_line")
     )
     cast = {n: F.col(n).try_cast(schema[n].dataType) for n in names}
     lost = [F.col(n).isNotNull() & cast[n].isNull() for n in names]
@@ -57,9 +59,7 @@ def read_csv(
     marked = rows.withColumn("_bad", bad)
     good = marked.where(~F.col("_bad")).select(*[cast[n].alias(n) for n in names])
     rejected = marked.where("_bad").select(
-        F.coalesce("_line", F.concat_ws(",", *[F.coalesce(n, F.lit("")) for n in names])).alias(
-            "_corrupt_record"
-        )
+        F.coalesce("_line", F.to_csv(F.struct(*names))).alias("_corrupt_record")
     )
     return good, rejected
 
@@ -94,11 +94,11 @@ def append(rows: DataFrame, into: str) -> None:
     rows.write.mode("append").parquet(into)
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
+def write_summary(summary: DataFrame, path: str, one_file: bool = False) -> None:
     """A result as CSV with a header, in its own order.
 
-    Up to ``SMALL_ROWS`` rows make one file; a larger result stays in several, whose names sort in order.
+    It is written in several files, whose names sort in order; ``one_file`` is for a caller who knows that one task can
+    write it.
     """
-    summary = settle(summary)
-    whole = summary.coalesce(1) if within_rows(summary) else summary
+    whole = settle(summary).coalesce(1) if one_file else summary
     whole.write.mode("overwrite").option("header", True).csv(path)

@@ -9,7 +9,7 @@ def _struct(*columns: tuple) -> T.StructType:
     return T.StructType([T.StructField(name, kind, nullable) for name, kind, nullable in columns])
 
 
-STRING, INT, DATE = T.StringType(), T.IntegerType(), T.DateType()
+STRING, INT, LONG, DATE = T.StringType(), T.IntegerType(), T.LongType(), T.DateType()
 
 MACHINES = _struct(
     ("machine_id", STRING, False),
@@ -35,7 +35,7 @@ PRODUCTS = _struct(
     ("price_per_unit", T.DecimalType(10, 2), True),
 )
 PRODUCTION = _struct(
-    ("prod_id", INT, False),
+    ("prod_id", LONG, False),
     ("prod_date", DATE, False),
     ("machine_id", STRING, False),
     ("emp_id", STRING, False),
@@ -50,7 +50,7 @@ PRODUCTION = _struct(
     ("vibration_level", T.DecimalType(5, 2), True),
 )
 SALES = _struct(
-    ("sale_id", INT, False),
+    ("sale_id", LONG, False),
     ("sale_date", DATE, False),
     ("product_id", STRING, False),
     ("qty_sold", INT, False),
@@ -59,7 +59,7 @@ SALES = _struct(
     ("customer", STRING, True),
 )
 MAINTENANCE = _struct(
-    ("maint_id", INT, False),
+    ("maint_id", LONG, False),
     ("machine_id", STRING, False),
     ("maint_date", DATE, False),
     ("maint_type", STRING, False),

@@ -52,15 +52,6 @@ def checked_sizes(t: FactoryTables) -> FactoryTables:
     return replace(t, small=frozenset(d for d in dimensions if within_rows(getattr(t, d))))
 
 
-def spread(fact: DataFrame, key: str) -> DataFrame:
-    """Divides a fact over the cores when its files make fewer tasks than there are cores.
-
-    A large table has tasks enough and is left as its files lie.
-    """
-    cores = fact.sparkSession.sparkContext.defaultParallelism
-    return fact.repartition(cores, key) if fact.rdd.getNumPartitions() < cores else fact
-
-
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
     """One table with its declared types; nothing is inferred, so no extra pass over the files."""
     reader = spark.read.schema(SCHEMAS[name]).format(fmt)

@@ -164,3 +164,17 @@ def test_sample_keeps_the_order(labelled):
     sample = rows(model.prediction_sample(scored, ["prod_id"]))
     assert [s["sample"] for s in sample] == list(range(60))
     assert all(s["correct"] == (s["actual"] == 0) for s in sample)
+
+
+def test_runs_without_a_rate_are_labelled_zero_and_divided(spark):
+    run = spark.createDataFrame([(i, None if i % 10 == 0 else float(i)) for i in range(400)], "prod_id int, defect_rate double")
+    labelled = model.with_label(run)
+    assert labelled.where("high_defect is null").count() == 0
+    assert labelled.where("defect_rate is null and high_defect = 0").count() == 40
+    assert model.split(labelled, ["prod_id"]).count() == 400
+    folds = by(model.with_fold(labelled, ["prod_id"]).groupBy("fold").count(), "fold")
+    assert set(folds) == {0, 1, 2, 3, 4} and sum(f["count"] for f in folds.values()) == 400
+    unlabelled = labelled.withColumn("high_defect", F.when(F.col("prod_id") > 20, F.col("high_defect")))
+    assert model.split(unlabelled, ["prod_id"]).count() == 400
+    with pytest.raises(Exception, match="no threshold"):
+        model.with_label(run.where("defect_rate is null")).collect()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import MACHINES, by, rows, tables
 from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from millwright.operators import quality
 from millwright.plans import summaries
@@ -12,6 +13,9 @@ from millwright.sources.schema import MACHINES as MACHINE_TYPES
 from millwright.sources.tables import checked_sizes, read_catalog, read_folder, within_rows
 
 
+MACHINE_NAMES = T.StructType([T.StructField("machine_id", T.StringType()), T.StructField("machine_name", T.StringType())])
+
+
 def test_quality_checks(factory):
     assert by(quality.table_counts(factory), "table_name")["production"]["n"] == 7
     lost = {(r["table_name"], r["column_name"]): r["violations"] for r in rows(quality.orphans(factory))}
@@ -71,6 +75,22 @@ def test_import_appends_and_numbers_facts(spark, tmp_path):
     assert rows(spark.read.text(rejects)) == [{"value": "M2,never,Breakdown,1"}]
 
 
+def test_files_of_unlike_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Machine ID,Machine Name\nM1,Lathe\n")
+    (tmp_path / "b.csv").write_text("Machine Name,Machine ID\nPress,M2\n")
+    good, _ = csv_files.read_csv(spark, str(tmp_path), MACHINE_NAMES, ["machine_id"])
+    with pytest.raises(Exception, match="header"):
+        good.collect()
+
+
+def test_rejected_lines_can_be_read_again(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Machine ID,Machine Name,Age Years\nM1,"Saw, small",old\nM2,Press,3\n')
+    schema = T.StructType([*MACHINE_NAMES, T.StructField("age_years", T.IntegerType())])
+    good, bad = csv_files.read_csv(spark, str(tmp_path), schema, ["machine_id"])
+    assert rows(good) == [{"machine_id": "M2", "machine_name": "Press", "age_years": 3}]
+    assert rows(bad) == [{"_corrupt_record": 'M1,"Saw, small",old'}]
+
+
 def test_folder_round_trip(spark, factory, tmp_path):
     for name, df in factory.items():
         df.write.parquet(f"{tmp_path}/{name}")
@@ -91,7 +111,7 @@ def test_catalog_tables(spark, factory):
 
 def test_summary_file_keeps_order_and_header(spark, factory, tmp_path):
     table = summaries.machine_performance(factory)
-    csv_files.write_summary(table, str(tmp_path / "out"))
+    csv_files.write_summary(table, str(tmp_path / "out"), one_file=True)
     written = next((tmp_path / "out").glob("part-*.csv")).read_text().splitlines()
     assert written[0].startswith("machine_id,machine_name,department,age_years,total_runs")
     assert [line.split(",")[0] for line in written[1:]] == [r["machine_id"] for r in rows(table)]

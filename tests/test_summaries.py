@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import PRODUCTION, by, rows, tables
+from conftest import EMPLOYEES, MACHINES, PRODUCTION, PRODUCTS, by, rows, run, tables
 
 from millwright.operators import star
 from millwright.operators.rollup import Rollup, rounded, with_share
@@ -142,3 +142,17 @@ def test_plans_push_filters_and_read_few_columns(spark, tmp_path):
     plan = run._sc._jvm.PythonSQLUtils.explainString(run._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull(prod_date), GreaterThanOrEqual(prod_date" in plan
     assert "ReadSchema: struct<prod_date:date,shift:string,units_made:int>" in plan
+
+
+def test_pivot_keeps_shifts_that_nobody_listed(spark):
+    made = [run(1, "2024-01-05", "M1", "E1", "P1", "General", 100, 2), run(2, "2024-01-05", "M1", "E1", "P1", "Morning", 100, 4)]
+    t = tables(spark, machines=MACHINES, employees=EMPLOYEES, products=PRODUCTS, production=made)
+    got = rows(summaries.machine_shift_pivot(t))
+    assert got == [{"machine_name": "Lathe", "evening": None, "morning": 4.0, "night": None, "general": 2.0}]
+
+
+def test_runs_never_meet_prices(factory):
+    """Losses are priced after adding up: below the join that brings prices, runs are aggregated."""
+    for table in (summaries.department_losses(factory), summaries.kpi_summary(factory)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("price_per_unit") < plan.index("sum(units_defective")

@@ -31,7 +31,8 @@ from millwright.llm.shingles import Shingler, factors, min_hashes
 
 TREES, DEPTH = 20, 6
 RECALL = 0.9999
-BLOCK = 256
+#: Sets in a block; two blocks meet in a task, some 100 MB at worst for texts of common length.
+BLOCK = 1024
 BINS = 20
 
 

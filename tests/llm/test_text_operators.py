@@ -91,11 +91,12 @@ def test_ngram_join_equals_brute_force(spark):
     assert sorted(kept, key=str) == sorted(want, key=str)
 
 
-def test_ngram_join_splits_large_nodes(spark):
+def test_ngram_join_splits_large_nodes(spark, monkeypatch):
     """A group larger than a block: all pairs are counted, none twice."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
     base = lorem(3, 100).split()
     rows = []
-    for i in range(ngram_join.BLOCK + 60):
+    for i in range(200):
         text = list(base)
         text[i % 100] = f"edit{i}"
         rows.append((i, " ".join(text)))

@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from catalog import oracle, queries
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
+ORACLE = oracle.oracle_sql()
+QUERIES = queries.queries()
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_registration(spark):
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
     flagship = entry.entry(spark)
     assert flagship.columns[:2] == ["machine_id", "machine_name"] and flagship.count() > 0

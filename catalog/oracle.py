@@ -61,6 +61,30 @@ labelled AS (
   FROM star s)
 """
 
+RUN_KEY = (
+    "prod_date, machine_id, emp_id, product_id, shift, units_made, units_defective, downtime_hrs, temperature, pressure, "
+    "humidity, vibration_level"
+)
+
+
+def _parts(fractions: list[float]) -> str:
+    """Labelled runs with the part that their bucket puts them in."""
+    keys = ", ".join(f"CAST({k.strip()} AS VARCHAR)" for k in RUN_KEY.split(","))
+    cuts = ", ".join(
+        f"coalesce(max(CASE WHEN upto <= floor(total * {f} + 1e-9) THEN bucket END), -1) AS cut{i}"
+        for i, f in enumerate(fractions)
+    )
+    part = " + ".join(f"CAST(bucket > cut{i} AS INT)" for i in range(len(fractions)))
+    return f""", placed AS (
+        SELECT high_defect, CAST('0x' || left(md5(concat_ws('|', '42', {keys})), 4) AS INT) AS bucket FROM labelled),
+    ranked AS (
+        SELECT high_defect, bucket, sum(n) OVER (PARTITION BY high_defect ORDER BY bucket) AS upto,
+               sum(n) OVER (PARTITION BY high_defect) AS total
+        FROM (SELECT high_defect, bucket, COUNT(*) AS n FROM placed GROUP BY ALL)),
+    cuts AS (SELECT high_defect, {cuts} FROM ranked GROUP BY high_defect),
+    parts AS (SELECT high_defect, {part} AS part FROM placed JOIN cuts USING (high_defect)) """
+
+
 UNITS = "CAST(SUM(units_made) AS BIGINT) AS total_units, CAST(SUM(units_defective) AS BIGINT) AS total_defects"
 def ratio(part: str, whole: str, digits: int = 2) -> str:
     """part / whole * 100 of whole numbers, rounded half up in whole numbers."""
@@ -447,6 +471,13 @@ def oracle_sql() -> dict[str, str]:
         "rate_histogram": _HISTOGRAM,
         "high_defect_label": """SELECT CAST(prod_date AS VARCHAR) AS prod_date, machine_id, emp_id, product_id,
             defect_rate, high_defect FROM labelled""",
+        "stratified_split": _parts([0.8]) + """SELECT part = 1 AS is_test, high_defect, COUNT(*) AS n
+            FROM parts GROUP BY part, high_defect""",
+        "fold_sizes": _parts([0.2, 0.4, 0.6, 0.8]) + """SELECT CAST(part AS INT) AS fold, high_defect, COUNT(*) AS n
+            FROM parts GROUP BY part, high_defect""",
+        "model_checks": _parts([0.8]) + """SELECT COUNT(*) AS scored, CAST(SUM(high_defect) AS BIGINT) AS actual_high,
+            CAST(0 AS BIGINT) AS bad_probabilities, CAST(0 AS BIGINT) AS disagreements, CAST(0 AS BIGINT) AS changed_scores,
+            TRUE AS importances_complete, TRUE AS beats_larger_class FROM parts WHERE part = 1""",
         "label_balance": f"""SELECT high_defect, COUNT(*) AS n, {ratio('COUNT(*)', 'SUM(COUNT(*)) OVER ()', 1)} AS share_pct
             FROM labelled GROUP BY high_defect""",
         "category_encoding": _each(

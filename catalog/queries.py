@@ -160,6 +160,33 @@ def _split_balance(spark: SparkSession, folder: str) -> DataFrame:
     return parts.groupBy("is_test", model.LABEL).agg(F.count("*").alias("n"))
 
 
+def _fold_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    parts = model.with_fold(shared.labelled_runs(spark, folder), shared.RUN_KEY)
+    return parts.groupBy("fold", model.LABEL).agg(F.count("*").alias("n"))
+
+
+def _model_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the scored test set, whatever trees were grown: sizes that SQL can state, and counts of faults."""
+    loaded = shared.trained_model(spark, folder)
+    scored = shared.scored_test_runs(spark, folder)
+    actual, said, chance = F.col(model.LABEL), F.col(model.PREDICTION), F.col(model.PROBABILITY)
+    again = model.score(loaded, shared.split_runs(spark, folder).where("is_test")).select(
+        *shared.RUN_KEY, F.round(chance, 9).alias("again")
+    )
+    changed = scored.select(*shared.RUN_KEY, F.round(chance, 9).alias("again")).exceptAll(again).count()
+    importance = model.feature_importance(spark, loaded).agg(F.sum("importance_pct").alias("s")).first().s
+    right, ones = F.sum((actual == said).cast("long")), F.sum(actual.cast("long"))
+    return scored.agg(
+        F.count("*").alias("scored"),
+        ones.alias("actual_high"),
+        F.sum((chance.isNull() | (chance < 0) | (chance > 1)).cast("long")).alias("bad_probabilities"),
+        F.sum((said != (chance > 0.5).cast("int")).cast("long")).alias("disagreements"),
+        F.lit(changed).cast("long").alias("changed_scores"),
+        F.lit(abs(float(importance) - 100) < 1).alias("importances_complete"),
+        (right >= F.greatest(ones, F.count("*") - ones)).alias("beats_larger_class"),
+    )
+
+
 def _importance(spark: SparkSession, folder: str) -> DataFrame:
     return model.feature_importance(spark, shared.trained_model(spark, folder))
 
@@ -249,6 +276,8 @@ def queries() -> dict[str, Query]:
         "classification_report": _on_runs(lambda run: model.classification_report(_rule(model.with_label(run)))),
         "rule_accuracy": _on_runs(lambda run: model.accuracy(_rule(model.with_label(run)))),
         "stratified_split": _split_balance,
+        "fold_sizes": _fold_sizes,
+        "model_checks": _model_checks,
         "model_accuracy": _scored_test(model.accuracy),
         "model_confusion": _scored_test(model.confusion_matrix),
         "model_report": _scored_test(model.classification_report),

@@ -74,6 +74,15 @@ def encode_categories(df: DataFrame, columns: list[str]) -> DataFrame:
 # --- split and folds ------------------------------------------------------------------------------
 
 
+def _bucket(keys: list[str], seed: int) -> Column:
+    """One of BUCKETS (65,536) buckets: the first four digits of the MD5 of the seed and the keys as text.
+
+    Any engine can compute it, so a split made here can be checked elsewhere.
+    """
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.left(F.md5(named), F.lit(4)), 16, 10).cast("int")
+
+
 def with_part(
     labelled: DataFrame, keys: list[str], fractions: list[float], out: str, seed: int = SEED
 ) -> DataFrame:
@@ -84,8 +93,7 @@ def with_part(
     within one bucket's rows, and rows with equal keys stay together. Rows without a label are a class of
     their own, divided like the others.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
-    placed = labelled.withColumns({"_bucket": bucket, "_class": F.coalesce(F.col(LABEL), F.lit(-1))})
+    placed = labelled.withColumns({"_bucket": _bucket(keys, seed), "_class": F.coalesce(F.col(LABEL), F.lit(-1))})
     counts = placed.groupBy("_class", "_bucket").agg(F.count("*").alias("n"))  # at most 3 * BUCKETS rows
     of_class = Window.partitionBy("_class")
     so_far = of_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)

@@ -172,7 +172,7 @@ class WarcReader(DataSourceReader):
         return [Part(self.path if info.is_file else self.path + n[len(root.rstrip("/")) :]) for n in names]
 
     def read(self, partition):
-        if not isinstance(partition, Part):
+        if getattr(partition, "path", None) is None:  # there is no file at all
             return
         fs, path = _open(partition.path)
         columns = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -176,6 +176,30 @@ def test_line_dedup_groups_all_lines_that_are_near_by_hash_and_similar(spark):
     assert len(gone) >= 30  # beyond three bits finding is likely, not sure
 
 
+def test_line_dedup_finds_near_lines_of_every_length(spark):
+    # (words of a line, words with one letter changed, part of the pairs that is found at least).
+    cases = [((4, 8), "one", 0.95), ((9, 20), "one", 0.98), ((21, 40), "one", 0.98), ((41, 80), "one", 0.98)]
+    cases += [(n, "tenth", least) for (n, _, least) in cases]
+    rng = np.random.default_rng(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "in")]
+    rows = []
+    for (least, most), how, _ in cases:
+        for _ in range(150):
+            line = ["".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(int(rng.integers(least, most + 1)))]
+            other, edits = list(line), 1 if how == "one" else max(1, len(line) // 10)
+            for k in rng.choice(len(line), edits, replace=False):
+                at = int(rng.integers(len(line[k])))
+                other[k] = line[k][:at] + "z" + line[k][at + 1 :]
+            line, other = " ".join(line), " ".join(other)
+            assert edits <= 0.2 * len(line)
+            rows += [(len(rows), line), (len(rows) + 1, other)]
+    gone = {r.doc_id for r in line_dedup.report(frame(spark, rows)).where("n_removed > 0").collect()}
+    for c, case in enumerate(cases):
+        found = sum(300 * c + 2 * n + 1 in gone for n in range(150)) / 150
+        print(*case, round(found, 3))
+        assert found >= case[2], (case, found)
+
+
 def test_long_lines_are_compared_by_words(spark):
     long = " ".join(f"part{i % 700} of" for i in range(900))
     rows = [(1, long), (2, long + " end"), (3, " ".join(f"piece{i}" for i in range(900)))]

@@ -207,6 +207,19 @@ def test_long_lines_are_compared_by_words(spark):
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_edit_similarity_is_over_characters_at_every_length(spark):
+    # One letter in 11 of 50 words, at the end of the line so that a stretch stays whole: characters 0.96, words 0.78.
+    line = lorem(11, 50, 10**5).split(" ")
+    rows = [(1, " ".join(line)), (2, " ".join(line[:39] + [w + "z" for w in line[39:]]))]
+    # Nine of 50 words replaced, which are the long ones: words 0.82, characters under 0.8.
+    wide = [f"w{k}x" for k in range(41)] + ["q" * 20 + str(k) for k in range(9)]
+    rows += [(3, " ".join(wide)), (4, " ".join(wide[:41] + ["y" * 20 + str(k) for k in range(9)]))]
+    assert all(len(t) > 256 for _, t in rows)
+    assert distance(rows[0][1], rows[1][1]) <= 0.2 * len(rows[0][1]) and distance(rows[2][1], rows[3][1]) > 0.2 * len(rows[2][1])
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 # --- decontamination ---------------------------------------------------------------------------------------------
 
 

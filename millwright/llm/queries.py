@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import compression_quality, decontamination, license_scan, line_dedup, ngram_join, packing, search, substring_dedup, url_reputation, warc
+from millwright.llm import (
+    collocations, compression_quality, decontamination, importance_resampling, license_scan, line_dedup, ngram_join, packing,
+    search, source_mixing, substring_dedup, url_reputation, warc,
+)
 from millwright.llm.common import folder as new_folder
 
 
@@ -69,6 +72,18 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mixing.shares(source_mixing.mix(table(spark, folder, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.scores(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -81,4 +96,6 @@ def oracle_sql() -> dict[str, str]:
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
         "op7_search": search.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
+        "op12_importance_resampling": importance_resampling.ORACLE_SQL,
+        "op13_collocations": collocations.ORACLE_SQL,
     }

@@ -33,8 +33,8 @@ from millwright.operators.ordering import running_total
 #: Slots of a shard.
 SHARD = 65_536
 MAX_SOURCES = 1_000
-#: Rounds of the permutation: after each, a number has moved to a random place with one half.
-ROUNDS = 20
+#: Rounds of the permutation: each moves a number to a random place with one half.
+ROUNDS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -94,15 +94,24 @@ def _at(values: list, place: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), place + 1)
 
 
-def permuted(number: Column, count: Column, *key: Column) -> Column:
-    """``number`` (0.. below ``count``) moved by the key's permutation of all of them."""
+def rounds(seed: int, *key: Column, count: Column) -> Column:
+    """What the rounds of a permutation of ``count`` numbers need: the point that each reflects at, and its salt."""
+
+    def one(r: Column) -> Column:
+        point = F.pmod(F.xxhash64(F.lit(seed), F.lit("point"), r, *key), F.greatest(count, F.lit(1).cast("long")))
+        return F.struct(point.alias("point"), F.xxhash64(F.lit(seed), F.lit("salt"), r, *key).alias("salt"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), one)
+
+
+def permuted(number: Column, count: Column, steps: Column) -> Column:
+    """``number`` (0.. below ``count``) moved by the permutation whose ``rounds`` are given."""
 
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(F.lit(1), r, *key), count) - x, count)
-        swap = F.xxhash64(F.lit(2), r, *key, F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1
-        return F.when(swap, other).otherwise(x)
+        other = F.pmod(r["point"] - x, count)
+        return F.when(F.xxhash64(r["salt"], F.greatest(x, other)) < 0, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), number, step)
+    return F.aggregate(steps, number, step)
 
 
 def _slots(spark, n_slots: list[int], n_blocks: list[int], seed: int) -> DataFrame:
@@ -139,13 +148,14 @@ def _slots(spark, n_slots: list[int], n_blocks: list[int], seed: int) -> DataFra
             F.when(keeps, F.col("own")).otherwise(moved).alias("own"),
         )
     )
-    return (
-        dealt.withColumn("count", _at(n_blocks, F.col("source_no")))
-        .select("slot", "shard", "source_no", "count", F.expr("own div count").alias("pass"), F.expr("own % count").alias("number"))
-        .select(
-            "slot", "shard", "source_no", "pass",
-            permuted(F.col("number"), F.col("count"), F.lit(seed), F.col("source_no"), F.col("pass")).alias("block"),
-        )
+    numbers = dealt.withColumn("count", _at(n_blocks, F.col("source_no"))).select(
+        "slot", "shard", "source_no", "count", F.expr("own div count").alias("pass"), F.expr("own % count").alias("number")
+    )
+    passes = [(i, p, n_blocks[i]) for i in sources for p in range(-(-n_slots[i] // max(1, n_blocks[i])))]
+    orders = spark.createDataFrame(passes, "source_no int, pass long, of long")  # a row for each pass over a source
+    orders = orders.select("source_no", "pass", rounds(seed, F.col("source_no"), F.col("pass"), count=F.col("of")).alias("rounds"))
+    return numbers.join(F.broadcast(orders), ["source_no", "pass"]).select(
+        "slot", "shard", "source_no", "pass", permuted(F.col("number"), F.col("count"), F.col("rounds")).alias("block")
     )
 
 

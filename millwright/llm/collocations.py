@@ -196,22 +196,24 @@ def _survivors(sums: DataFrame, n_parts: int, threshold: int) -> list:
             columns = [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, names=["part", "bits", "bitmap"])
 
-        now, summary, sure, waiting = None, None, [], []
+        now, summary, sure, hashes, counts, held = None, None, [], [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["part"] != now:
                     if now is not None:
-                        summary.merge(*(list(x) for x in zip(*waiting)))
+                        summary.merge(hashes, counts)
                         yield out(bitmap(now, summary, sure))
-                    now, summary, sure, waiting = row["part"], Summary(row["all"] // threshold + 1), [], []
-                waiting.append((np.frombuffer(row["hashes"], np.uint32), np.frombuffer(row["counts"], np.uint16).astype(np.int64)))
+                    now, summary = row["part"], Summary(row["all"] // threshold + 1)
+                    sure, hashes, counts, held = [], [], [], 0
+                hashes.append(np.frombuffer(row["hashes"], np.uint32))
+                counts.append(np.frombuffer(row["counts"], np.uint16).astype(np.int64))
                 sure.append(np.frombuffer(row["sure"], np.uint32))
-                if sum(len(h) for h, _ in waiting) > 4 * summary.capacity + 100_000:
-                    summary.merge(*(list(x) for x in zip(*waiting)))
-                    sure, waiting = [np.unique(np.concatenate(sure))], []
+                held += len(hashes[-1])
+                if held > 4 * summary.capacity + 100_000:
+                    summary.merge(hashes, counts)
+                    sure, hashes, counts, held = [np.unique(np.concatenate(sure))], [], [], 0
         if now is not None:
-            if waiting:
-                summary.merge(*(list(x) for x in zip(*waiting)))
+            summary.merge(hashes, counts)
             yield out(bitmap(now, summary, sure))
 
     masses = broadcast_if_small(sums.groupBy("part").agg(F.sum("mass").alias("all")), "masses")

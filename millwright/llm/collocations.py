@@ -18,9 +18,10 @@ of any length are read whole. Products are taken as decimals, so no count overfl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millwright.llm import grams
@@ -39,17 +40,26 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 ONE = "part int, mass long, hashes binary, counts binary, sure binary"
 
 
+@dataclass
 class Bitmaps:
     """Hashes that may be frequent: partition p owns 2**bits[p] bits from byte ``start[p]`` on (none: -1)."""
 
-    def __init__(self, n_parts: int, rows: list):
-        self.start, self.bits = np.zeros(n_parts, np.int64), np.full(n_parts, -1, np.int64)
-        pieces, at = [], 0
+    start: np.ndarray
+    bits: np.ndarray
+    data: np.ndarray
+
+    @classmethod
+    def of(cls, n_parts: int, rows: list) -> Bitmaps:
+        start, bits, pieces, at = np.zeros(n_parts, np.int64), np.full(n_parts, -1, np.int64), [], 0
         for row in rows:
-            self.start[row.part], self.bits[row.part] = at, row.bits
+            start[row.part], bits[row.part] = at, row.bits
             pieces.append(np.frombuffer(bytes(row.bitmap), np.uint8))
             at += len(pieces[-1])
-        self.data = np.concatenate(pieces) if pieces else np.zeros(1, np.uint8)
+        return cls(start, bits, np.concatenate(pieces) if pieces else np.zeros(1, np.uint8))
+
+    def sent(self, spark: SparkSession):
+        """Broadcast as plain arrays, which tasks can read without this package."""
+        return spark.sparkContext.broadcast((self.start, self.bits, self.data))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         part, rest = parted(hashes, len(self.start))
@@ -147,13 +157,14 @@ def _sums(rows: DataFrame, shortest: int, longest: int, n_parts: int, threshold:
 
     def sum_up(batches) -> Iterator:
         held, size = [], 0
+        pairs = Bitmaps(*known.value) if known is not None else None
         for batch in batches:
             for langs, words in _in_parts(batch):
                 pair, found = None, []
                 for n, at, h in _runs(words, _tags(langs)[words.text], longest):
                     if n == 2 and shortest > 2:
                         pair = np.zeros(len(words.first), bool)
-                        pair[at] = known.value.has(h)
+                        pair[at] = pairs.has(h)
                     if n < shortest:
                         continue
                     if pair is not None:
@@ -240,6 +251,7 @@ def _exact(rows: DataFrame, longest: int, threshold: int, known) -> DataFrame:
 
     def count(batches) -> Iterator:
         counts: dict = {}
+        frequent = Bitmaps(*known.value)
         for batch in batches:
             for langs, words in _in_parts(batch, 4 * grams.PART_BYTES):
                 names, number = np.unique(np.array(langs, object), return_inverse=True)
@@ -248,7 +260,7 @@ def _exact(rows: DataFrame, longest: int, threshold: int, known) -> DataFrame:
                     counts[name, None, 0] = counts.get((name, None, 0), 0) + n
                 raw = words.data.tobytes()
                 for k, at, h in _runs(words, _tags(langs)[words.text], longest):
-                    at = at[known.value.has(h)]
+                    at = at[frequent.has(h)]
                     first, end, lang = words.first[at], words.end[at + k - 1], number[at]
                     table = grams.Table(words.data, first, end - first, lang)
                     of = table.owner
@@ -295,9 +307,9 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     n_parts = 1 + size // PARTITION_BYTES
     found = _survivors(_sums(rows, 1, min(2, longest), n_parts, threshold, None), n_parts, threshold)
     if longest > 2:
-        pairs = spark.sparkContext.broadcast(Bitmaps(n_parts, found))
+        pairs = Bitmaps.of(n_parts, found).sent(spark)
         found = _both(found, _survivors(_sums(rows, 3, longest, n_parts, threshold, pairs), n_parts, threshold))
-    return written(_exact(rows, longest, threshold, spark.sparkContext.broadcast(Bitmaps(n_parts, found))), "phrases")
+    return written(_exact(rows, longest, threshold, Bitmaps.of(n_parts, found).sent(spark)), "phrases")
 
 
 def _whole(x: Column) -> Column:

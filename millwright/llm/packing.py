@@ -4,8 +4,8 @@
 length (the last may be shorter). ``pack`` deals the shorter pieces out in even parts, of a size that one task holds, and
 fills sequences in each: best fit, longest first, then a local search between underfull sequences. It moves one piece, or
 exchanges one for one, two for one or one for two, from an emptier sequence to a fuller one, so that the sum of squared
-fills grows with every step; it ends when no step is left or the sequences are as few as the tokens allow. A part leaves about
-one underfull sequence more than a packing of everything at once.
+fills grows with every step; it ends when no step is left or the sequences are as few as the tokens allow. A part leaves at
+most about one underfull sequence more than a packing of everything at once.
 
 Cases: a NULL text counts as empty, which gives one piece, the end id. Equal documents and repeated keys are packed one by
 one. A document of any length is cut whole. An empty table gives an empty result. Other columns are not looked at.
@@ -17,17 +17,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm.common import written
 
-#: Pieces in one part: some 20 MB of Python objects.
-PART = 60_000
+#: Pieces in one part: the search of a part takes some ten seconds where its pieces fit badly.
+PART = 15_000
 #: Distinct words of a generation that a worker remembers the ids of (some 100 MB).
 REMEMBERED = 500_000
-#: The local search of a part: sequences a source exchanges with, pieces of a sequence that are tried, and when it ends.
-POOL, WIDEST, SOURCES, STEPS = 200, 12, 40, 3000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,6 +48,9 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
+        self.closes[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: list[dict[str, bytes]] = [{}, {}]
         self.cores: list[dict[str, bytes]] = [{}, {}]
 
@@ -68,41 +70,80 @@ class _Tokens:
             generations[0] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        blank = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ") for x in texts]
+        split = pc.split_pattern(pa.array(blank, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        ids, starts, counts = self._ids(words.dictionary.to_pylist())
+        # Each word of the texts takes the ids of its entry.
+        entry = words.indices.to_numpy()
+        size = counts[entry]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        out = ids[np.arange(total) + np.repeat(starts[entry] - (ends - size), size)]
+        edges = np.r_[0, ends][split.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of the words, one after another, with the start and the number of each."""
         self._room(self.words)
         known, older = self.words
-        new = {w for ws in split for w in ws if w not in known}
-        for w in [w for w in new if w in older]:
-            known[w] = older[w]
-            new.discard(w)
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         if new:
             self._learn(new, known)
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        found = [known[w] for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum(counts) - counts, counts
 
-    def _learn(self, new: set[str], known: dict[str, bytes]) -> None:
+    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
         self._room(self.cores)
         cores, older = self.cores
-        parts = {}
+        parts, unknown = [], {}
         for w in new:
-            core = w.rstrip(self.MARKS)
-            if not core or not core[-1].isalpha():
-                core = w
-            tail = w[len(core) :]
-            parts[w] = (core.lower() if core.isascii() else core, tail)
-        unknown = []
-        for c in {c for pair in parts.values() for c in pair}:
-            if c not in cores:
-                if c in older:
-                    cores[c] = older[c]
-                else:
-                    unknown.append(c)
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cores[c] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in parts.items():
-            known[w] = cores[core] + cores[tail]
+            core, tail = (w, "") if w.isalpha() else (w.rstrip(self.MARKS), "")
+            if len(core) < len(w):
+                core, tail = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
+            if core.isascii():
+                core = core.lower()
+            parts.append((core, tail))
+            for c in (core, tail):
+                if c not in cores and c not in unknown:
+                    if c in older:
+                        cores[c] = older[c]
+                    else:
+                        unknown[c] = None
+        plain = [c for c in unknown if c.isalpha()]
+        for i in range(0, len(plain), 4096):
+            cores.update(self._together(plain[i : i + 4096]))
+        rest = [c for c in unknown if c not in cores]
+        for i in range(0, len(rest), 4096):
+            cores.update(self._one_by_one(rest[i : i + 4096]))
+        for w, (core, tail) in zip(new, parts):
+            known[w] = cores[core] + cores[tail] if tail else cores[core]
+
+    def _one_by_one(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
+
+    def _together(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters in one go, as a text of its own; cut where a token ends a word, which every word has one of or more.
+
+        Where the vocabulary does not mark ends, or cuts one of the words, the numbers differ and they go one by one.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else ids
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            if len(words) <= 64:
+                return self._one_by_one(words)
+            half = len(words) // 2  # one odd word does not slow the others down
+            return self._together(words[:half]) | self._together(words[half:])
+        data, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return {w: data[a:b] for w, a, b in zip(words, edges[:-1], edges[1:])}
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = 4096, end: int = 1) -> DataFrame:
@@ -154,71 +195,83 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(source: list[int], targets: list[list[int]], rooms: np.ndarray, lengths: np.ndarray):
-    """The exchange that fills a target most: (gain, given places of source, target, taken places of it), or None.
+def _step(source: int, owner: np.ndarray, fill: np.ndarray, lengths: np.ndarray, capacity: int):
+    """The step from one sequence to a fuller one that raises the sum of squared fills most, or None.
 
-    One or two pieces are given for none or one of a target's, or one piece for two of them.
+    That is (pieces given, target, pieces taken). Moves are looked at first, then exchanges of one for one, of two for
+    one and of one for two; each kind over all pieces of all underfull sequences at once.
     """
-    width = min(WIDEST, max(map(len, targets)))
-    own = np.zeros((len(targets), width + 1), np.int64)  # column 0: nothing is taken
-    for i, members in enumerate(targets):
-        part = lengths[members[:width]]
-        own[i, 1 : 1 + len(part)] = part
-    filled = own > 0
-    filled[:, 0] = True
-    first, second = np.triu_indices(width, 1)
-    pairs = own[:, first + 1] + own[:, second + 1]
-    both = filled[:, first + 1] & filled[:, second + 1]
-    best = None
-    held = source[:WIDEST]
-    gifts = [((i,), int(lengths[i])) for i in held]
-    gifts += [((i, j), int(lengths[i] + lengths[j])) for n, i in enumerate(held) for j in held[n + 1 :]]
-    for given, total in gifts:
-        options = [(own, filled, None)] + ([(pairs, both, 1)] if len(given) == 1 and len(first) else [])
-        for sums, there, two in options:
-            gain = np.where(there, total - sums, 0)
-            gain[gain > rooms[:, None]] = 0
-            at = int(gain.argmax())
-            if gain.flat[at] > 0 and (best is None or gain.flat[at] > best[0]):
-                i, j = divmod(at, gain.shape[1])
-                taken = (int(first[j]), int(second[j])) if two else (j - 1,) if j else ()
-                best = (int(gain.flat[at]), given, i, [targets[i][k] for k in taken])
-    return best
+    room = capacity - fill
+    able = (fill >= fill[source]) & (room > 0)
+    able[source] = False
+    targets = np.flatnonzero(able)
+    if not len(targets):
+        return None
+    own = np.flatnonzero(owner == source)
+    size, first = np.unique(lengths[own], return_index=True)
+    single = [(int(n), own[i : i + 1]) for n, i in zip(size, first)]
+
+    def best(gifts: list, takes: np.ndarray, at: np.ndarray):
+        found, worth, r, ahead = None, 0, room[at], fill[at] - fill[source]
+        for given, members in gifts:
+            gain = given - takes
+            raised = np.where((gain > 0) & (gain <= r), gain * (ahead + gain), 0)
+            k = int(raised.argmax()) if len(raised) else 0
+            if len(raised) and raised[k] > worth:
+                found, worth = (members, int(at[k]), k), int(raised[k])
+        return found
+
+    nothing = np.empty(0, np.int64)
+    found = best(single, np.zeros(len(targets), np.int64), targets)
+    if found:
+        return found[0], found[1], nothing
+    pieces = np.flatnonzero(able[owner])
+    pieces = pieces[np.argsort(owner[pieces], kind="stable")]
+    at = owner[pieces]
+    found = best(single, lengths[pieces], at)
+    if found is None and len(own) > 1:
+        pairs = {int(lengths[own[i]] + lengths[own[j]]): own[[i, j]] for i in range(len(own)) for j in range(i)}
+        found = best(list(pairs.items()), lengths[pieces], at)
+    if found:
+        return found[0], found[1], pieces[found[2] : found[2] + 1]
+    for apart in range(1, len(pieces)):  # pairs of a sequence's pieces, so many places from one another
+        pair = np.flatnonzero(at[apart:] == at[:-apart])
+        if not len(pair):
+            return None
+        found = best(single, lengths[pieces[pair]] + lengths[pieces[pair + apart]], at[pair])
+        if found:
+            return found[0], found[1], pieces[[pair[found[2]], pair[found[2]] + apart]]
+    return None
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty the least full of ``bins`` by moves and exchanges that raise the sum of squared fills.
 
-    A piece only ever goes to a sequence that is at least as full, so every step raises that sum. The search gives up after
-    ``STEPS`` steps, or when none of the emptiest ``SOURCES`` sequences has a step left.
+    A piece only ever goes to a sequence that is at least as full, so every step raises that sum. The search sweeps over all
+    sequences from the emptiest on until a sweep finds no step, or the sequences are as few as the tokens allow.
     """
     least = -(-int(lengths.sum()) // capacity)
-    fill = np.array([int(lengths[b].sum()) for b in bins], np.int64)
-    live = len(bins)
-    stuck: list[int] = []
-    for _ in range(STEPS):
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        if live <= least or len(open_bins) < 2 or len(stuck) >= SOURCES:
-            break
-        ordered = open_bins[np.argsort(fill[open_bins], kind="stable")]
-        source = next((b for b in ordered.tolist() if b not in stuck), None)
-        if source is None:
-            break
-        near = ordered[(ordered != source) & (fill[ordered] >= fill[source])][:POOL]
-        targets = [bins[b] for b in near.tolist()]
-        best = _exchange(bins[source], targets, capacity - fill[near], lengths) if targets else None
-        if best is None:
-            stuck.append(source)
-            continue
-        gained, given, i, taken = best
-        target = int(near[i])
-        bins[target] = [k for k in bins[target] if k not in taken] + list(given)
-        bins[source] = [k for k in bins[source] if k not in given] + list(taken)
-        fill[target] += gained
-        fill[source] -= gained
-        stuck.clear()
-        live -= fill[source] == 0
-    return [b for b in bins if b]
+    owner = np.empty(len(lengths), np.int64)
+    for b, members in enumerate(bins):
+        owner[members] = b
+    fill = np.bincount(owner, lengths, len(bins)).astype(np.int64)
+    live, moved = len(bins), True
+    while moved and live > least:
+        moved = False
+        for source in np.argsort(fill, kind="stable").tolist():
+            while 0 < fill[source] < capacity and live > least:
+                step = _step(source, owner, fill, lengths, capacity)
+                if step is None:
+                    break
+                given, target, taken = step
+                gain = int(lengths[given].sum() - lengths[taken].sum())
+                owner[given], owner[taken] = target, source
+                fill[target] += gain
+                fill[source] -= gain
+                live -= fill[source] == 0
+                moved = True
+    order = np.argsort(owner, kind="stable")
+    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1)] if len(order) else []
 
 
 def pack(parts: DataFrame, capacity: int = 4096, part: int = PART) -> DataFrame:

@@ -92,11 +92,11 @@ def _node(tree: int, depth: int):
 
 
 def _forest(sets: DataFrame, depth: int) -> DataFrame:
-    """(id, tree): the sets that share a node of this depth, and where."""
+    """(id, trees): the sets that share a node of this depth, and in which trees; a set is one row."""
     nodes = F.array(*[F.struct(F.lit(t).alias("tree"), _node(t, depth).alias("node")) for t in range(TREES)])
     rows = sets.select("id", F.explode(nodes).alias("at")).select("id", "at.tree", "at.node")
     shared = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, "node").select("id", "tree")
+    return rows.join(shared, "node").groupBy("id").agg(F.collect_list("tree").alias("trees"))
 
 
 def _candidates(members: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
@@ -104,7 +104,8 @@ def _candidates(members: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
     node = F.lit(None).cast("long")
     for t in range(TREES):
         node = F.when(F.col("tree") == t, _node(t, depth)).otherwise(node)
-    rows = members.join(sets.select("id", "sig"), "id").select("id", "sig", "tree", node.alias("node"))
+    rows = members.join(sets.select("id", "sig"), "id").select("id", "sig", F.explode("trees").alias("tree"))
+    rows = rows.select("id", "sig", "tree", node.alias("node"))
     sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(5), "id"), blocks).cast("int")
@@ -188,8 +189,10 @@ def _verified(found: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text
 
     # A key may stand for several texts; the set's own name tells them apart, and equal sets are needed once.
     items = texts.mapInArrow(hashed, "id binary, items binary").dropDuplicates(["id"])
-    rows = members.join(items, "id").join(sets.select("id", "copies"), "id").select(
-        "cell", "place", "id", "copies", "items", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right")
+    # A set meets its items once, with all its places, and goes to its cells from there.
+    placed = members.groupBy("id").agg(F.collect_list(F.struct("cell", "place")).alias("places"))
+    rows = placed.join(items, "id").join(sets.select("id", "copies"), "id").select("*", F.explode("places").alias("at")).select(
+        "at.cell", "at.place", "id", "copies", "items", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right")
     )
     heads = found.select(
         "cell", F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("id"), F.lit(0).cast("long").alias("copies"),
@@ -306,10 +309,13 @@ def join(
 
 
 def _estimated_recall(histogram: np.ndarray, depth: int, threshold: float) -> float:
+    """The smaller of the recall of all links and that of the least similar links found: one large group of very similar
+    texts does not end the search for the others."""
     at = threshold + (1 - threshold) * np.arange(BINS) / BINS
     p = np.array([chance(s, depth) for s in at])
     missed = (histogram * (1 - p) / p).sum() + 3 * (1 - p[0]) / p[0]
-    return float(histogram.sum() / (histogram.sum() + missed))
+    lowest = p[np.flatnonzero(histogram)[:1]].sum()
+    return float(min(histogram.sum() / (histogram.sum() + missed), lowest))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:

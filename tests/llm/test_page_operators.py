@@ -150,7 +150,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names and set(queries.oracle_sql()) <= names
 
@@ -175,3 +175,25 @@ def test_pipeline_stages(spark):
         before = after
     packed = pipeline.STAGES[-1][1](spark, docs, folder)
     assert {r.doc_id for r in packed.collect()} == before
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    """NULLs, empty and long texts, repeated rows, no rows, and columns named as the stages' own."""
+    import corpus_pipeline as pipeline
+
+    folder = "/root/testdata/sf0.001"
+    leak = queries.table(spark, folder, "benchmark").first().text
+    long = " ".join(f"w{i * 7919 % 5003}" for i in range(20_000))
+    rows = [(1, None), (2, ""), (None, "a text without a key, of some words"), (4, long), (5, "same row\nsame row"), (5, "same row\nsame row"), (6, f"x {leak} y")]
+    odd = ["label", "order", "score", "predicted", "size_log", "_gone", "gone", "_kept", "g", "of", "key", "line", "id", "sig", "odd name"]
+    docs = spark.createDataFrame([(*r, *range(len(odd)), 7) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in odd) + ", n_chars long")
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns
+        kept[name] = {r.doc_id: r.text for r in found.collect()}
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert kept["line_dedup"][5] == "same row" and kept["line_dedup"][4] == long and kept["line_dedup"][1] is None
+    assert set(kept["ngram_join"]) == {1, 2, None, 4, 5, 6} and set(kept["decontamination"]) == {1, 2, None, 4, 5}
+    packed = pipeline.STAGES[-1][1](spark, docs, folder)
+    assert packed.count() >= len(rows) and pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0

@@ -34,21 +34,77 @@ def correlation_factors(df: DataFrame, target: str, factors: list[str], digits:
     )
 
 
+def comoments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Plain sums for every pair of columns, by the set of columns present: one row a set, settled.
+
+    ``mask`` has bit i where column i is present; ``n`` counts rows; ``s`` has a sum a column, ``lo`` and ``hi`` its extremes, ``p``
+    a sum of products for each of ``_pairs``. Values are taken from near their mean (``c<i>``, that of the first rows found), so that
+    products lose no digits. No row is multiplied, and a hot set of columns reaches the shuffle as one row a task.
+    """
+    if len(columns) > 60:
+        raise ValueError("at most 60 columns")  # a bit each
+    doubles = df.select([F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    near = doubles.limit(1000).agg(*[F.avg(c).alias(c) for c in doubles.columns]).first()
+    centre = [float(near[c] or 0.0) for c in doubles.columns]
+    present = [F.col(c).isNotNull() for c in doubles.columns]
+    bits = [F.when(here, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, here in enumerate(present)]
+    mask = bits[0]
+    for bit in bits[1:]:
+        mask = mask.bitwiseOR(bit)
+    off = [F.coalesce(F.col(c) - F.lit(m), F.lit(0.0)).alias(c) for c, m in zip(doubles.columns, centre)]
+    centred = doubles.select(mask.alias("mask"), *off)
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(f"v{i}").alias(f"s{i}") for i in range(len(columns))]]
+    ends = [end(f"v{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, end in (("lo", F.min), ("hi", F.max))]
+    pairs = _pairs(columns)
+    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]
+    added = centred.groupBy("mask").agg(*sums, *ends, *products)
+    packed = [F.array(*[f"{c}{i}" for i in range(len(columns))]).alias(c) for c in ("s", "lo", "hi")]
+    return settle(added.select("mask", "n", *packed, F.array(*[f"p{k}" for k in range(len(pairs))]).alias("p")))
+
+
+def _pairs(columns: list[str]) -> list[tuple[int, int]]:
+    return list(combinations_with_replacement(range(len(columns)), 2))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """(row_idx, col_idx, row_name, col_name, correlation) for every pair, in one pass over the data.
 
-    All pairs are aggregates of one row, so no run is multiplied; the row is turned into pairs at the end.
+    A pair's correlation is over the rows that have both columns: the sets of columns that hold both are added up. NULL
+    where one of them is constant there.
     """
-    doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    found = [F.round(correlation(columns[i], columns[j]), digits).alias(f"c{i}_{j}") for i, j in pairs]
-    one_row = doubles.agg(*found)
-    cells = [
-        F.struct(F.lit(i).alias("row_idx"), F.lit(j).alias("col_idx"), F.lit(columns[i]).alias("row_name"),
-                 F.lit(columns[j]).alias("col_name"), F.col(f"c{min(i, j)}_{max(i, j)}").alias("correlation"))
-        for i in range(len(columns)) for j in range(len(columns))
-    ]
-    return one_row.select(F.inline(F.array(*cells)))
+    pairs = _pairs(columns)
+    place = {pair: k for k, pair in enumerate(pairs)}
+    names = F.array(*[F.lit(c) for c in columns])
+    # Where a pair's figures are: its columns, and its products with themselves and one another.
+    where = [F.struct(*[F.lit(x).alias(n) for n, x in zip("ijabc", (i, j, place[i, i], place[j, j], place[i, j]))]) for i, j in pairs]
+    each = comoments(df, columns).withColumn("at", F.explode(F.array(*where)))
+    held = [F.expr(f"mask & shiftleft(1L, at.{c}) <> 0") for c in "ij"]
+    added = (
+        each.where(held[0] & held[1])
+        .groupBy("at.i", "at.j")
+        .agg(
+            F.sum("n").alias("n"),
+            *[F.sum(F.expr(e)).alias(c) for c, e in {"sx": "s[at.i]", "sy": "s[at.j]", "sxx": "p[at.a]", "syy": "p[at.b]", "sxy": "p[at.c]"}.items()],
+            *[F.min(F.expr(f"lo[at.{c}]")).alias(f"lo{n}") for c, n in ("ix", "jy")],
+            *[F.max(F.expr(f"hi[at.{c}]")).alias(f"hi{n}") for c, n in ("ix", "jy")],
+        )
+    )
+
+    def spread(a: str, b: str, products: str) -> Column:
+        return F.col(products) - F.col(a) * F.col(b) / F.col("n")
+
+    varies = (F.col("lox") < F.col("hix")) & (F.col("loy") < F.col("hiy"))
+    r = F.try_divide(spread("sx", "sy", "sxy"), F.sqrt(spread("sx", "sx", "sxx")) * F.sqrt(spread("sy", "sy", "syy")))
+    found = added.select("i", "j", F.when(varies, F.round(r, digits)).alias("r"))
+    known = found.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "r")))).scalar()  # one entry a pair
+    cells = df.sparkSession.range(len(columns) ** 2).select(
+        F.expr(f"cast(id div {len(columns)} as int)").alias("row_idx"), F.expr(f"cast(id % {len(columns)} as int)").alias("col_idx")
+    )
+    key = F.struct(F.least("row_idx", "col_idx").alias("i"), F.greatest("row_idx", "col_idx").alias("j"))
+    return cells.select(
+        "row_idx", "col_idx", F.get(names, F.col("row_idx")).alias("row_name"), F.get(names, F.col("col_idx")).alias("col_name"),
+        F.try_element_at(known, key).alias("correlation"),
+    )
 
 
 def lower_triangle(matrix: DataFrame) -> DataFrame:

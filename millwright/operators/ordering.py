@@ -48,19 +48,32 @@ def running_total(df: DataFrame, order_by: list[str], weight: str, out: str) ->
     )
 
 
+#: Copies of one row beyond this many are numbered in several tasks.
+COPIES = 100_000
+
+
 def numbered(df: DataFrame, order_by: list[str], out: str, after: Column | int = 0) -> DataFrame:
-    """Adds after+1, after+2, ... in the order given, without gaps.
+    """Adds after+1, after+2, ... in the order given, without gaps; ties go by the other columns.
 
-    The rows are settled first so that their place in it can break ties: a third of the table may be
-    copies of one row, and those too must spread over the slices.
+    Equal rows are counted and given copy numbers, so that the order tells all rows apart by what they hold: a retried
+    task gives the same numbers, and copies, a third of the table even, spread over the slices. The table is settled
+    once, in its new order, and each slice goes on from the count of those before it.
     """
-    placed = settle(df).withColumn("_tie", F.monotonically_increasing_id())
-    slices = _in_slices(placed, [*order_by, "_tie"])
+    names = [*order_by, *[c for c in df.columns if c not in order_by]]
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    few = counted.withColumn("_first", F.lit(0).cast("long"))
+    # Only a row of many copies takes a second step: its copies are dealt out in runs of COPIES.
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long")))
+    many = counted.where(F.col("_copies") > COPIES).withColumn("_first", chunk).repartition("_first", *names)
+    runs = few.where(F.col("_copies") <= COPIES).unionByName(many)
+    last = F.least(F.col("_copies"), F.col("_first") + COPIES) - 1
+    copies = runs.withColumn("_copy", F.explode(F.sequence("_first", last))).drop("_copies", "_first")
+    slices = _in_slices(copies, [*names, "_copy"])
     first = F.lit(after) if isinstance(after, int) else after
     return (
         slices.join(F.broadcast(_shifts(slices, F.lit(1))), _SLICE)
         .withColumn(out, (F.col(_BEFORE) + F.col(_PLACE) + 1 + first).cast("bigint"))
-        .drop(_SLICE, _PLACE, _BEFORE, "_tie")
+        .drop(_SLICE, _PLACE, _BEFORE, "_copy")
     )
 
 

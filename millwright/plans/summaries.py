@@ -14,6 +14,9 @@ from millwright.operators.star import dimension, runs
 from millwright.session import settle
 from millwright.sources.tables import FactoryTables
 
+#: So many shifts beyond the listed ones can be columns of a pivot.
+MOST_SHIFTS = 500
+
 UNITS = {"total_units": "units_made", "total_defects": "units_defective"}
 
 
@@ -142,7 +145,10 @@ def machine_shift_pivot(t: FactoryTables, shifts: tuple[str, ...] = ("Evening",
     named = settle(
         total.by(run, "machine_id", "shift").join(dimension(t, "machines", ("machine_name",)), "machine_id")
     )
-    others = [r.shift for r in named.select("shift").where(~F.col("shift").isin(*shifts)).distinct().collect()]
+    found = named.select("shift").where(~F.col("shift").isin(*shifts)).distinct().limit(MOST_SHIFTS + 1)
+    others = [r.shift for r in found.collect()]
+    if len(others) > MOST_SHIFTS:
+        raise ValueError(f"more than {MOST_SHIFTS} shifts to be columns")
     across = [*shifts, *sorted(others)]
     mean = F.round(F.try_divide(F.sum("rate_sum"), F.sum("rate_n")), 2)
     wide = named.groupBy("machine_name").pivot("shift", across).agg(mean)
@@ -281,9 +287,9 @@ def _production_kpis(t: FactoryTables, round_rows: bool) -> DataFrame:
     return total.finished(total.again(priced, extra=whole))
 
 
-def kpi_summary(t: FactoryTables, round_rows: bool = False) -> DataFrame:
-    """One row of key figures over the three facts."""
-    made = _production_kpis(t, round_rows)
+def kpi_summary(t: FactoryTables, round_rows: bool = False, made: DataFrame | None = None) -> DataFrame:
+    """One row of key figures over the three facts; ``made`` brings those of the runs if they are known already."""
+    made = _production_kpis(t, round_rows) if made is None else made
     revenue = _known_sales(t).agg(F.sum("revenue")).scalar()
     upkeep = t.maintenance.join(dimension(t, "machines", ()), "machine_id").agg(F.sum("cost")).scalar()
     figures = made.withColumns(

@@ -6,8 +6,10 @@ of runs, however large, is ever sorted in one task.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -156,12 +158,27 @@ def model_input(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
+#: Rows times trees that one task should visit: some ten seconds of work.
+VISITS = 25_000_000
+
+
+def spread(df: DataFrame, rows: int, trees: int = TREES, always: bool = False) -> DataFrame:
+    """Deals ``rows`` out by the work that a forest makes of them, not by their bytes, to at least two tasks a core.
+
+    Parts cut by size hold some 500,000 runs, which is about a task's work. So a table that fills all cores with such parts
+    is left as it is, unless ``always``; only a smaller one, which would keep few cores busy, is shuffled.
+    """
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    parts = max(least, -(-rows * trees // VISITS))
+    return df.repartition(parts) if always or parts == least else df
+
+
 def training_set(labelled: DataFrame, *others: str) -> DataFrame:
-    """The inputs and the label, computed once and spread evenly, in parts of the size that adaptive execution aims at:
-    a forest passes over them many times."""
+    """The inputs and the label, computed once and dealt out by the work a forest makes of them: it passes over them
+    many times."""
     numeric = [c for c in FEATURES if c not in INDEXED.values()]
     rows = model_input(labelled).select(*numeric, *INDEXED, LABEL, *others)
-    return settle(rows.hint("rebalance"))
+    return settle(spread(rows, labelled.count(), always=True))
 
 
 def fit(train: DataFrame, **settings) -> PipelineModel:
@@ -229,6 +246,37 @@ def feature_importance(spark: SparkSession, model: PipelineModel, full_bar: floa
     )
 
 
+def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a saved forest: (tree, node, feature, gain, n); a leaf has no feature. ``n`` is its weight of rows."""
+    nodes = spark.read.parquet(f"{path}/stages/*RandomForest*/data")
+    node = "nodeData" if "nodeData" in nodes.columns else "_2"
+    tree = "treeID" if node == "nodeData" else "_1"
+    inner = F.col(f"{node}.leftChild") >= 0
+    n = F.aggregate(F.col(f"{node}.impurityStats"), F.lit(0.0), lambda a, x: a + x)
+    return nodes.select(
+        F.col(tree).alias("tree"), F.col(f"{node}.id").alias("node"), F.when(inner, F.col(f"{node}.split.featureIndex")).alias("feature"),
+        F.when(inner, F.col(f"{node}.gain")).alias("gain"), n.alias("n"),
+    )
+
+
+def importances_from_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, importance) of a saved forest, from its nodes: what each input gains, weighted by rows.
+
+    A tree's gains are made to add up to 1 before the trees are added up; a tree without a split counts for none. The
+    work is adding up a table, however many trees there are.
+    """
+    nodes = saved_nodes(spark, path).where("feature is not null")
+    of_tree = nodes.groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("n")).alias("gain"))
+    share = F.try_divide(F.col("gain"), F.sum("gain").over(Window.partitionBy("tree")))  # ten rows a tree
+    total = of_tree.select("feature", share.alias("share")).groupBy("feature").agg(F.sum("share").alias("share"))
+    whole = F.sum("share").over(Window.partitionBy())  # ten rows
+    found = total.select("feature", F.try_divide("share", whole).alias("importance"))
+    inputs = spark.createDataFrame(list(enumerate(FEATURES)), "feature int, name string")
+    return inputs.join(F.broadcast(found), "feature", "left").select(
+        F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance")
+    )
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 
@@ -314,15 +362,26 @@ def classification_report(scored: DataFrame, label: str = LABEL, prediction: str
     return one_row.select(F.inline(lines))
 
 
-def cross_validation(labelled: DataFrame, keys: list[str], folds: int = 5, **settings) -> DataFrame:
-    """Accuracy of each fold, with their mean and standard deviation."""
+def cross_validation(
+    labelled: DataFrame, keys: list[str], folds: int = 5, at_once: int | None = None, **settings
+) -> DataFrame:
+    """Accuracy of each fold, with their mean and standard deviation.
+
+    The folds are trained at once (``at_once`` of them) over one settled table. Their jobs go to scheduler pools of their
+    own, which share the cores evenly where the session's ``spark.scheduler.mode`` is FAIR.
+    """
     data = training_set(with_fold(labelled, keys, folds), "fold")
-    scores = []
-    for k in range(folds):
+    context = data.sparkSession.sparkContext
+
+    def score_fold(k: int) -> DataFrame:
+        context.setLocalProperty("spark.scheduler.pool", f"fold {k}")
         model = fit(data.where(F.col("fold") != k), **settings)
         result = accuracy(score(model, data.where(F.col("fold") == k)))
         share = F.try_divide(F.col("correct"), F.col("n"))
-        scores.append(settle(result.select(F.lit(k + 1).alias("fold"), "n", share.alias("accuracy"))))
+        return settle(result.select(F.lit(k + 1).alias("fold"), "n", share.alias("accuracy")))
+
+    with ThreadPoolExecutor(at_once or folds) as pool:
+        scores = [f.result() for f in [pool.submit(inheritable_thread_target(data.sparkSession)(score_fold), k) for k in range(folds)]]
     scores = reduce(DataFrame.unionByName, scores)
     every = Window.partitionBy()  # one row per fold
     return scores.select(

@@ -61,6 +61,33 @@ def from_counts(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame
     return rows.groupBy(GROUP).agg(*[_interpolated(p).alias(n) for n, p in probabilities.items()])
 
 
+#: Size of a sketch: ranks are off by less than half a percent, almost surely.
+SKETCH_K = 800
+
+
+def month_sketches(df: DataFrame, value: str, date: str, *by: str) -> DataFrame:
+    """(by..., month, sketch): a mergeable KLL sketch of the values of every month, some kilobytes each.
+
+    Kept as a table, it answers for any span of months without the rows, and a new month is one row more.
+    """
+    dated = df.withColumn("month", F.trunc(date, "MM")).where(F.col(value).isNotNull())
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K))
+    return dated.groupBy(*by, "month").agg(sketch.alias("sketch"))
+
+
+def from_sketches(
+    sketches: DataFrame, probabilities: dict[str, float], *by: str, first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """Quantiles of a span of months (both ends included, as dates), a column for each named probability, and ``n``."""
+    if first is not None:
+        sketches = sketches.where(F.col("month") >= F.to_date(F.lit(first)))
+    if last is not None:
+        sketches = sketches.where(F.col("month") <= F.to_date(F.lit(last)))
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+    found = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(n) for n, p in probabilities.items()]
+    return merged.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), *found)
+
+
 def quantiles(
     df: DataFrame,
     value: str,

@@ -60,6 +60,18 @@ def points(df: DataFrame, category: str, x: str, y: str) -> DataFrame:
     )
 
 
+def sample_per_group(df: DataFrame, by: list[str], keys: list[str], k: int, seed: int = 42) -> DataFrame:
+    """``k`` rows of every group, or all of a smaller one: those whose seeded MD5 of the keys is smallest.
+
+    The same rows are drawn whatever the partitioning, here or in another engine. A task hands on at most ``k`` rows of
+    a group, so a group that holds most of the table costs no more than another. NULL is a group like the others.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys]))
+    placed = df.withColumn("_order", order)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_order", *keys))
+    return placed.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_order", "_rank")
+
+
 def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) for the distinct values of each column, from one pass."""
     long = df.select([F.col(c).cast("string").alias(c) for c in columns]).unpivot(

@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, app: str = "millwright") -> SparkSession
         .config("spark.driver.memory", "12g")
         .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files still make a task for each core
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.scheduler.mode", "FAIR")  # folds of a cross-validation share the cores
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -35,7 +36,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if in_use.isDefined():
         return configured or in_use.get()
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="millwright-checkpoints-")
     spark.sparkContext.setCheckpointDir(configured)

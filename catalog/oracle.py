@@ -67,8 +67,8 @@ RUN_KEY = (
 )
 
 
-def _parts(fractions: list[float]) -> str:
-    """Labelled runs with the part that their bucket puts them in."""
+def _parts(fractions: list[float], keep: str = "high_defect AS label") -> str:
+    """Labelled runs with the part that their bucket puts them in, and the columns to ``keep``."""
     keys = ", ".join(f"CAST({k.strip()} AS VARCHAR)" for k in RUN_KEY.split(","))
     cuts = ", ".join(
         f"coalesce(max(CASE WHEN upto <= floor(total * {f} + 1e-9) THEN bucket END), -1) AS cut{i}"
@@ -76,13 +76,13 @@ def _parts(fractions: list[float]) -> str:
     )
     part = " + ".join(f"CAST(bucket > cut{i} AS INT)" for i in range(len(fractions)))
     return f""", placed AS (
-        SELECT high_defect, CAST('0x' || left(md5(concat_ws('|', '42', {keys})), 4) AS INT) AS bucket FROM labelled),
+        SELECT {keep}, high_defect, CAST('0x' || left(md5(concat_ws('|', '42', {keys})), 4) AS INT) AS bucket FROM labelled),
     ranked AS (
         SELECT high_defect, bucket, sum(n) OVER (PARTITION BY high_defect ORDER BY bucket) AS upto,
                sum(n) OVER (PARTITION BY high_defect) AS total
         FROM (SELECT high_defect, bucket, COUNT(*) AS n FROM placed GROUP BY ALL)),
     cuts AS (SELECT high_defect, {cuts} FROM ranked GROUP BY high_defect),
-    parts AS (SELECT high_defect, {part} AS part FROM placed JOIN cuts USING (high_defect)) """
+    parts AS (SELECT placed.*, {part} AS part FROM placed JOIN cuts USING (high_defect)) """
 
 
 UNITS = "CAST(SUM(units_made) AS BIGINT) AS total_units, CAST(SUM(units_defective) AS BIGINT) AS total_defects"
@@ -317,6 +317,40 @@ _INSIGHTS = f""", m AS ({MACHINES}), s AS ({SHIFTS}), t AS ({MONTHS.format(sourc
     || format('{{:,.2f}}', defect_pct) || '%.' FROM t ORDER BY defect_pct, month LIMIT 1)"""
 
 
+_KEY_TEXT = ", ".join(f"CAST({k.strip()} AS VARCHAR)" for k in RUN_KEY.split(","))
+_KEY_SHOWN = ", ".join(
+    f"CAST({k.strip()} AS {'VARCHAR' if k.strip() == 'prod_date' else 'DOUBLE'}) AS {k.strip()}"
+    if k.strip() in ("prod_date", "downtime_hrs", "temperature", "pressure", "humidity", "vibration_level") else k.strip()
+    for k in RUN_KEY.split(",")
+)
+
+_LABEL_HISTOGRAM = """, v AS (SELECT high_defect, CAST(temperature AS DOUBLE) AS x FROM labelled WHERE temperature IS NOT NULL),
+  ranges AS (SELECT high_defect, MIN(x) AS low, MAX(x) AS high FROM v GROUP BY high_defect),
+  frame AS (SELECT high_defect, low, high, CAST(bin AS INT) AS bin FROM ranges, range(20) b(bin)),
+  counts AS (
+    SELECT v.high_defect, CAST(LEAST(floor((x - low) / (high - low) * 20), 19) AS INT) AS bin, COUNT(*) AS n
+    FROM v JOIN ranges r ON v.high_defect = r.high_defect GROUP BY ALL)
+  SELECT f.high_defect, f.bin, round(low + f.bin * (high - low) / 20, 6) AS bin_low,
+         round(low + (f.bin + 1) * (high - low) / 20, 6) AS bin_high, COALESCE(n, 0) AS n
+  FROM frame f LEFT JOIN counts c ON f.high_defect = c.high_defect AND f.bin = c.bin"""
+
+
+def _scenarios() -> str:
+    """Planned runs: high is bad for most inputs, low for experience and units; the mixed one is the mean."""
+    high = ["temperature", "pressure", "downtime_hrs", "age_years", "vibration_level", "humidity"]
+    parts = []
+    for name, shift in (("bad", "Night"), ("normal", "Morning"), ("mixed", "Evening")):
+        columns = []
+        for c in [*high, "experience_yrs", "units_made"]:
+            f = "AVG" if name == "mixed" else "MAX" if (name == "bad") == (c in high) else "MIN"
+            columns.append(f"round({f}(CAST({c} AS DOUBLE)), 6) AS {c}")
+        parts.append(
+            f"SELECT department, '{name}' AS scenario, '{shift}' AS shift, {', '.join(columns)}, TRUE AS adds_up, "
+            "TRUE AS words_right, TRUE AS prediction_right FROM star GROUP BY department"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     tables = ["machines", "employees", "products", "production", "sales", "maintenance"]
     visible = """SELECT CAST(prod_date AS VARCHAR) AS prod_date, machine_id, emp_id, product_id, shift, units_made,
@@ -504,5 +538,39 @@ def oracle_sql() -> dict[str, str]:
             SELECT * EXCLUDE (first_date, last_date),
                    strftime(first_date, '%d %b %Y') || ' to ' || strftime(last_date, '%d %b %Y') AS period FROM k""",
         "insights": _INSIGHTS,
+        "bundle_worst_runs": _WORST.format(rate=ROW_RATE),
+        "bundle_kpis": f""", k AS ({ROW_KPIS})
+            SELECT * EXCLUDE (first_date, last_date),
+                   strftime(first_date, '%d %b %Y') || ' to ' || strftime(last_date, '%d %b %Y') AS period FROM k""",
+        "append_batches": """SELECT CAST(row_number() OVER (ORDER BY sale_date >= DATE '1995-01-01', sale_date,
+            CAST(product_id AS VARCHAR), qty_sold, revenue, region, customer) AS BIGINT) AS sale_id,
+            CAST(sale_date AS VARCHAR) AS sale_date, CAST(product_id AS VARCHAR) AS product_id, qty_sold,
+            CAST(revenue AS DOUBLE) AS revenue, region, customer FROM sales""",
+        "footer_counts": _each(
+            "SELECT '{v}' AS table_name, COUNT(*) AS n FROM {v}",
+            ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"],
+        ),
+        "slice_by_month": """SELECT CAST(prod_date AS VARCHAR) AS prod_date, machine_id, shift, units_made, units_defective
+            FROM production WHERE prod_date BETWEEN DATE '1994-02-10' AND DATE '1996-03-15' AND quarter(prod_date) = 1""",
+        "scatter_sample": f"""SELECT department, defect_rate, {_KEY_SHOWN} FROM star
+            QUALIFY row_number() OVER (PARTITION BY department ORDER BY md5(concat_ws('|', '42', {_KEY_TEXT})), {RUN_KEY}) <= 60""",
+        "label_histogram": _LABEL_HISTOGRAM,
+        "sketch_quantiles": """SELECT shift, COUNT(humidity) AS n, TRUE AS p10_near, TRUE AS p25_near, TRUE AS p50_near,
+            TRUE AS p75_near, TRUE AS p90_near FROM star
+            WHERE date_trunc('month', prod_date) BETWEEN DATE '1993-03-01' AND DATE '1997-10-01' GROUP BY shift""",
+        "rate_bars": f""", m AS ({MACHINES}) SELECT machine_id, defect_rate,
+            CAST(LEAST(100, round(defect_rate / (SELECT MAX(defect_rate) FROM m) * 100)) AS INT) AS bar_pct FROM m""",
+        "fold_checks": _parts([0.2, 0.4, 0.6, 0.8]) + """SELECT CAST(part AS INT) AS fold, COUNT(*) AS n, TRUE AS in_range,
+            TRUE AS mean_right, TRUE AS std_right FROM parts GROUP BY part""",
+        "importance_checks": _each(
+            "SELECT '{v}' AS feature, TRUE AS agrees, TRUE AS in_range, TRUE AS bar_right",
+            ["temperature", "pressure", "downtime_hrs", "age_years", "vibration_level", "humidity", "experience_yrs",
+             "units_made", "shift_num", "dept_num"],
+        ),
+        "scenario_checks": _scenarios(),
+        "score_checks": """SELECT machine_id, shift, COUNT(*) AS runs, round(AVG(defect_rate), 6) AS mean_rate,
+            CAST(0 AS BIGINT) AS faulty FROM star GROUP BY machine_id, shift""",
+        "sample_checks": _parts([0.8], keep=RUN_KEY) + f"""SELECT CAST(row_number() OVER (ORDER BY {RUN_KEY}) - 1 AS INT) AS sample,
+            high_defect AS actual, TRUE AS consistent FROM parts WHERE part = 1 QUALIFY sample < 60""",
     }
     return {name: f"WITH {FACTORY}{body}" for name, body in bodies.items()}

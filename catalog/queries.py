@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 from catalog import shared
 from millwright.functions import metrics, text
-from millwright.operators import model, ordering, quality, ranking, star, stats
+from millwright.functions.bands import percent_of
+from millwright.operators import model, ordering, quality, quantiles, ranking, star, stats
 from millwright.plans import charts, report, summaries
 from millwright.session import own_folder
-from millwright.sources import csv_files
+from millwright.sources import batches, csv_files, layout
 from millwright.sources.tables import FactoryTables
 
 SHIFTS = ["Morning", "Evening", "Night"]
@@ -146,7 +147,8 @@ def _score_scenarios(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _score_production(spark: SparkSession, folder: str) -> DataFrame:
-    run = star.enriched_production(shared.factory(spark, folder))
+    t = shared.factory(spark, folder)
+    run = model.spread(star.enriched_production(t), t.production.count())
     scored = model.score(shared.trained_model(spark, folder), run)
     return plain(scored.select(*shared.RUN_KEY[:5], "defect_rate", model.PREDICTION, model.PROBABILITY))
 
@@ -187,6 +189,120 @@ def _model_checks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _fold_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the folds, and whether the accuracies are shares whose mean and deviation are those given."""
+    scores = shared.cross_validated(spark, folder)
+    found = scores.agg(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std")).first()
+    return scores.select(
+        (F.col("fold") - 1).cast("int").alias("fold"),
+        "n",
+        F.col("accuracy").between(0.5, 1).alias("in_range"),
+        (F.abs(F.col("mean_pct") - F.lit(found["mean"]) * 100) < 0.01).alias("mean_right"),
+        (F.abs(F.col("std_pct") - F.lit(found["std"]) * 100) < 0.01).alias("std_right"),
+    )
+
+
+def _importance_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Importances added up from the saved forest's nodes, against those that the loaded model states."""
+    loaded = shared.trained_model(spark, folder)
+    own = model.importances_from_nodes(spark, shared.model_path(spark, folder))
+    stated = model.feature_importance(spark, loaded).select("feature", F.col("importance").alias("stated"), "bar_pct")
+    apart = F.abs(F.col("importance") - F.col("stated"))
+    percent = F.round(F.col("stated") * 100, 1)
+    bar = F.least(F.lit(100), F.round(percent / 30 * 100).cast("int"))
+    return own.join(stated, "feature").select(
+        "feature", (apart <= 1e-9).alias("agrees"), F.col("importance").between(0, 1).alias("in_range"),
+        (F.col("bar_pct") == bar).alias("bar_right"),
+    )
+
+
+def _scenario_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The inputs of the planned runs, and whether their two percents and their words agree."""
+    risk = _score_scenarios(spark, folder)
+    said = F.when(F.col(model.PREDICTION) == 1, "HIGH DEFECT RISK").otherwise("LOW DEFECT RISK")
+    columns = [c for c in model.FEATURES if c not in model.INDEXED.values()]
+    return risk.select(
+        "department", "scenario", "shift", *[F.round(c, 6).alias(c) for c in columns],
+        (F.abs(F.col("low_pct") + F.col("high_pct") - 100) < 0.11).alias("adds_up"),
+        (F.col("risk") == said).alias("words_right"),
+        (F.col(model.PREDICTION) == (F.col(model.PROBABILITY) > 0.5).cast("int")).alias("prediction_right"),
+    )
+
+
+def _score_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The scored table by machine: runs, units and faulty scores."""
+    scored = _score_production(spark, folder)
+    chance, said = F.col(model.PROBABILITY), F.col(model.PREDICTION)
+    faulty = chance.isNull() | (chance < 0) | (chance > 1) | (said != (chance > 0.5).cast("int"))
+    return scored.groupBy("machine_id", "shift").agg(
+        F.count("*").alias("runs"), F.round(F.avg("defect_rate"), 6).alias("mean_rate"), F.count_if(faulty).alias("faulty")
+    )
+
+
+def _sample_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The first runs of the test set: their places, their labels, and whether ``correct`` says what it should."""
+    sample = model.prediction_sample(shared.scored_test_runs(spark, folder), shared.RUN_KEY)
+    return sample.select(
+        "sample", "actual", (F.col("correct") == (F.col("actual") == F.col("predicted"))).alias("consistent")
+    )
+
+
+def _append_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales brought as two CSV batches, one of them failing once, both repeated: every sale counts once."""
+    t = shared.factory(spark, folder)
+    name = shared.short_name(folder)
+    base, into = own_folder(spark, "ingest"), f"{own_folder(spark, 'ingest')}/sales-{name}"
+    early = F.col("sale_date") < F.to_date(F.lit("1995-01-01"))
+    paths = {"early": f"{base}/early-{name}", "late": f"{base}/late-{name}"}
+    for batch, rows in (("early", t.sales.where(early)), ("late", t.sales.where(~early))):
+        rows.write.mode("overwrite").option("header", True).csv(paths[batch])
+    for attempt in ("early", "failed", "late", "early", "late"):
+        if attempt == "failed":
+            batches.stage(t.sales.where(~early), into)  # all rows are written, but the writer ends before the log entry
+        else:
+            batches.import_batch(spark, paths[attempt], "sales", into, attempt)
+    return plain(batches.read(spark, into, csv_files.SCHEMAS["sales"]))
+
+
+def _footer_counts(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    return quality.footer_counts(spark, {name: f"{folder}/{name}.parquet" for name in names})
+
+
+def _slice_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    """First quarters of a span of days, from the runs laid out by month."""
+    path = shared.runs_by_month(spark, folder)
+    run = layout.read_by_month(spark, path, shared.factory(spark, folder).production.schema)
+    run = layout.between(run, "1994-02-10", "1996-03-15")
+    run = layout.of_months(run, layout.read_months(spark, path).where("quarter = 1"))
+    return plain(run.select("prod_date", "machine_id", "shift", "units_made", "units_defective"))
+
+
+def _sketch_quantiles(run: DataFrame) -> DataFrame:
+    """How far quantiles from the months' sketches are from the ranks asked for: within one percent or not."""
+    asked = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    first, last = "1993-03-01", "1997-10-01"
+    rates = run.select("shift", "prod_date", "humidity")
+    sketches = quantiles.month_sketches(rates, "humidity", "prod_date", "shift")
+    found = quantiles.from_sketches(sketches, asked, "shift", first=first, last=last)
+    dated = rates.where(f"trunc(prod_date, 'MM') between date'{first}' and date'{last}'")
+    joined = dated.join(F.broadcast(found), "shift")  # a row a shift
+    value = F.col("humidity").cast("double")
+    ranks = []
+    for name in asked:
+        ranks += [F.avg((value < F.col(name)).cast("int")).alias(f"{name}_below"), F.avg((value <= F.col(name)).cast("int")).alias(f"{name}_upto")]
+    rows = joined.groupBy("shift").agg(F.first("n").alias("n"), *ranks)
+    near = [(F.lit(p + 0.01) >= F.col(f"{c}_below")) & (F.lit(p - 0.01) <= F.col(f"{c}_upto")) for c, p in asked.items()]
+    return rows.select("shift", "n", *[ok.alias(f"{c}_near") for c, ok in zip(asked, near)])
+
+
+def _rate_bars(t: FactoryTables) -> DataFrame:
+    """Machines with the length of their bar, in percent of the longest."""
+    machines = summaries.report_machines(t).select("machine_id", "defect_rate")
+    highest = charts.with_overall(machines, _high=F.max("defect_rate"))
+    return highest.select("machine_id", "defect_rate", percent_of(F.col("defect_rate"), F.col("_high")).alias("bar_pct"))
+
+
 def _importance(spark: SparkSession, folder: str) -> DataFrame:
     return model.feature_importance(spark, shared.trained_model(spark, folder))
 
@@ -205,6 +321,9 @@ def queries() -> dict[str, Query]:
         "surrogate_key": _on_tables(_surrogate_key),
         "ingest_csv": _ingest_csv,
         "csv_result": _csv_result,
+        "append_batches": _append_batches,
+        "footer_counts": _footer_counts,
+        "slice_by_month": _slice_by_month,
         # joins and derived columns
         "enriched_production": _on_runs(
             lambda run: run.drop("week", "good_units", "month", "efficiency", "revenue_lost")
@@ -217,6 +336,11 @@ def queries() -> dict[str, Query]:
         "label_text": _on_tables(_label_text),
         "slice_filter": _on_tables(_slice),
         "scatter_points": _on_runs(lambda run: ranking.points(run, "department", "temperature", "defect_rate")),
+        "scatter_sample": _on_runs(
+            lambda run: ranking.sample_per_group(run, ["department"], shared.RUN_KEY, 60).select(
+                "department", "defect_rate", *shared.RUN_KEY
+            )
+        ),
         "distinct_values": _on_runs(lambda run: ranking.distinct_values(run, ["machine_name", "department"])),
         # summaries
         "production_summary": _on_tables(summaries.production_summary),
@@ -244,6 +368,7 @@ def queries() -> dict[str, Query]:
         "month_trend": _on_tables(charts.month_trend),
         "best_worst_flags": _on_tables(charts.best_worst_flags),
         "machine_bands": _on_tables(charts.machine_bands),
+        "rate_bars": _on_tables(_rate_bars),
         "shift_share": _on_tables(charts.shift_share),
         "region_share": _on_tables(charts.region_share),
         "maintenance_share": _on_tables(charts.maintenance_share),
@@ -251,6 +376,8 @@ def queries() -> dict[str, Query]:
         "worst_runs": _on_tables(report.worst_runs),
         "worst_runs_rounded": _on_tables(lambda t: report.worst_runs(t, round_rows=True)),
         "best_worst_picks": _on_tables(report.best_worst_picks),
+        "bundle_worst_runs": _on_tables(lambda t: report.bundle(t)["worst_runs"]),
+        "bundle_kpis": _on_tables(lambda t: report.bundle(t)["kpis"]),
         "machine_status": _on_tables(report.machine_status),
         "shift_status": _on_tables(report.shift_status),
         "month_status": _on_tables(report.month_status),
@@ -265,6 +392,10 @@ def queries() -> dict[str, Query]:
         ),
         "shift_boxplot": _on_runs(lambda run: stats.box_statistics(run, "defect_rate", "shift", SHIFTS)),
         "shift_outliers": _on_runs(lambda run: stats.outliers(run, "revenue_lost", "shift", SHIFTS)),
+        "label_histogram": _on_runs(
+            lambda run: stats.histogram(model.with_label(run), "temperature", model.LABEL, [0, 1])
+        ),
+        "sketch_quantiles": _on_runs(_sketch_quantiles),
         "rate_histogram": _on_runs(lambda run: stats.histogram(run, "defect_rate", "shift", SHIFTS)),
         # model
         "high_defect_label": _on_runs(_labelled),
@@ -288,9 +419,12 @@ def queries() -> dict[str, Query]:
         "prediction_sample": _scored_test(lambda scored: model.prediction_sample(scored, shared.RUN_KEY)),
         "score_scenarios": _score_scenarios,
         "score_production": _score_production,
-        "cross_validation": lambda spark, folder: model.cross_validation(
-            shared.labelled_runs(spark, folder), shared.RUN_KEY
-        ),
+        "cross_validation": shared.cross_validated,
+        "fold_checks": _fold_checks,
+        "importance_checks": _importance_checks,
+        "scenario_checks": _scenario_checks,
+        "score_checks": _score_checks,
+        "sample_checks": _sample_checks,
         # report
         "kpi_targets": _on_tables(charts.kpi_targets),
         "report_kpis": _on_tables(report.report_kpis),

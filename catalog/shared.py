@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millwright.operators import model
 from millwright.operators.star import enriched_production
 from millwright.session import own_folder, settle
+from millwright.sources import layout
 from millwright.sources.tables import FactoryTables
 from millwright.sources.trade_tables import read_trade_tables
 
@@ -41,11 +42,11 @@ def split_runs(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "parts", lambda: settle(model.split(labelled_runs(spark, folder), RUN_KEY)))
 
 
-_settled: dict[tuple[str, str, str], DataFrame] = {}
+_settled: dict[tuple[str, str, str], object] = {}
 
 
-def _once(spark: SparkSession, folder: str, what: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A settled table of this session."""
+def _once(spark: SparkSession, folder: str, what: str, make: Callable):
+    """A settled table, or the path of a written one, of this session."""
     key = (spark.sparkContext.applicationId, folder, what)
     if key not in _settled:
         _settled[key] = make()
@@ -60,9 +61,14 @@ def short_name(folder: str) -> str:
 _loaded: dict[str, PipelineModel] = {}
 
 
+def model_path(spark: SparkSession, folder: str) -> str:
+    """Where this session saves its model."""
+    return f"{own_folder(spark, 'models')}/{short_name(folder)}"
+
+
 def trained_model(spark: SparkSession, folder: str) -> PipelineModel:
     """The model of this session, trained, saved and loaded back the first time."""
-    path = f"{own_folder(spark, 'models')}/{short_name(folder)}"
+    path = model_path(spark, folder)
     if path not in _loaded:
         if model.load(spark, path) is None:
             train = model.training_set(split_runs(spark, folder).where("not is_test"))
@@ -79,3 +85,19 @@ def scored_test_runs(spark: SparkSession, folder: str) -> DataFrame:
         return settle(runs.select(*RUN_KEY, model.LABEL, model.PREDICTION, model.PROBABILITY))
 
     return _once(spark, folder, "scored", scored)
+
+
+def cross_validated(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the folds, trained once per session and folder."""
+    return _once(spark, folder, "folds", lambda: settle(model.cross_validation(labelled_runs(spark, folder), RUN_KEY)))
+
+
+def runs_by_month(spark: SparkSession, folder: str) -> str:
+    """Where this session laid out the runs of a folder by month, written the first time."""
+
+    def write() -> str:
+        path = f"{own_folder(spark, 'results')}/months-{short_name(folder)}"
+        layout.write_by_month(factory(spark, folder).production, path)
+        return path
+
+    return _once(spark, folder, "months", write)

@@ -105,6 +105,17 @@ def test_saved_model_predicts_the_same(spark, labelled, trained, tmp_path):
     assert order(model.load(spark, path)) == order(trained)
 
 
+def test_importances_from_saved_nodes(spark, trained, tmp_path):
+    model.save(trained, str(tmp_path / "forest"))
+    own = by(model.importances_from_nodes(spark, str(tmp_path / "forest")), "feature")
+    stated = trained.stages[-1].featureImportances.toArray()
+    assert set(own) == set(model.FEATURES)
+    for name, want in zip(model.FEATURES, stated):
+        assert own[name]["importance"] == pytest.approx(want, abs=1e-9)
+    nodes = model.saved_nodes(spark, str(tmp_path / "forest"))
+    assert nodes.select("tree").distinct().count() == 20
+
+
 def test_missing_model(labelled):
     with pytest.raises(ValueError):
         model.score(None, labelled)

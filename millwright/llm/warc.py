@@ -92,6 +92,7 @@ class Files(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path.rstrip("/"), overwrite
+        self.aside = f"_temporary-{uuid.uuid4().hex}"  # this write's own, so that writers do not meet
 
     def write(self, iterator):
         fs, root = _open(self.path)
@@ -101,8 +102,8 @@ class WarcWriter(DataSourceArrowWriter):
                 for row in batch.to_pylist():
                     if out is None:
                         names.append(f"{uuid.uuid4().hex}.warc.gz")
-                        fs.create_dir(f"{root}/_temporary", recursive=True)
-                        out = fs.open_output_stream(f"{root}/_temporary/{names[-1]}", compression=None)
+                        fs.create_dir(f"{root}/{self.aside}", recursive=True)
+                        out = fs.open_output_stream(f"{root}/{self.aside}/{names[-1]}", compression=None)
                     payload = row["payload"] or b""
                     digest = row["payload_digest"] or base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     made = (row["warc_type"], row["record_id"], row["target_uri"], row["date"], payload, digest, row["refers_to"])
@@ -125,15 +126,15 @@ class WarcWriter(DataSourceArrowWriter):
                 if old.is_file and old.base_name.endswith((".warc", ".warc.gz")):
                     fs.delete_file(old.path)
         for name in [n for m in messages if m for n in m.names]:
-            fs.move(f"{root}/_temporary/{name}", f"{root}/part-{name}")
+            fs.move(f"{root}/{self.aside}/{name}", f"{root}/part-{name}")
         self.abort([])
 
     def abort(self, messages):
         from pyarrow import fs as pafs
 
         fs, root = _open(self.path)
-        if fs.get_file_info(f"{root}/_temporary").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/_temporary")
+        if fs.get_file_info(f"{root}/{self.aside}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{root}/{self.aside}")
 
 
 class WarcReader(DataSourceReader):
@@ -168,7 +169,7 @@ class WarcReader(DataSourceReader):
         fs, root = _open(self.path)
         info = fs.get_file_info(root)
         found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True)) if info.type == pafs.FileType.Directory else []
-        names = sorted(x.path for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and "/_temporary/" not in x.path)
+        names = sorted(x.path for x in found if x.is_file and x.path.endswith((".warc", ".warc.gz")) and "/_temporary-" not in x.path)
         return [Part(self.path if info.is_file else self.path + n[len(root.rstrip("/")) :]) for n in names]
 
     def read(self, partition):

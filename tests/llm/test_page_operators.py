@@ -45,7 +45,7 @@ def test_archive_round_trip(spark, pages, tmp_path):
     got = warc.report(spark.createDataFrame([(*p, 1, "x") for p in pages], PAGES + ", payload int, digest string"), f"file://{tmp_path}/a")
     assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert Counter(map(tuple, got.collect())) == brute_archive(pages)
-    assert not (tmp_path / "a" / "_temporary").exists()
+    assert not list((tmp_path / "a").glob("_temporary*"))
     assert warc.report(spark.createDataFrame([], PAGES), str(tmp_path / "none")).count() == 0
 
 
@@ -143,6 +143,19 @@ def test_reputation_shrinks_to_the_level_above(spark):
     assert url_reputation.judge(spark.createDataFrame([], "page_id long, url string"), seen).count() == 0
 
 
+def test_warc_writers_to_one_path_do_not_meet(tmp_path):
+    import pyarrow as pa
+
+    path = str(tmp_path / "archive")
+    row = {"warc_type": "response", "record_id": "r", "target_uri": None, "date": "2000-01-01T00:00:00Z", "payload": b"x", "payload_digest": None, "refers_to": None}
+    one, two = (warc.WarcWriter(path, False) for _ in range(2))
+    written = [w.write(iter([pa.RecordBatch.from_pylist([row])])) for w in (one, two)]
+    one.commit([written[0]])
+    assert len(list((tmp_path / "archive").glob("part-*"))) == 1
+    two.commit([written[1]])
+    assert len(list((tmp_path / "archive").iterdir())) == 2  # both parts, and nothing else
+
+
 # --- registration and the pipeline -------------------------------------------------------------------------------
 
 

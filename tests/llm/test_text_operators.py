@@ -320,6 +320,40 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def wrapped(text, mark="", width=70):
+    import textwrap
+
+    return "\n".join(f"{mark}{line}".rstrip() for line in textwrap.wrap(text, width))
+
+
+def test_license_scan_finds_texts_and_wrapped_headers(spark):
+    """Licence files by their bodies, headers in comments however they are wrapped, and texts inside longer files."""
+    text = {}
+    for name, template in license_scan.TEMPLATES:
+        text.setdefault(name, []).append(template)
+    apache = sorted(text["Apache-2.0"], key=len)
+    mit, gpl, lgpl = (sorted(text[n], key=len)[-1] for n in ("MIT", "GPL-3.0", "LGPL-2.1"))
+    code = "\n\nimport os\n\n" + lorem(3, 400)
+    files = [
+        ("mit/LICENSE", "MIT License\n\nCopyright (c) 2021 Some Person\n\n" + wrapped(mit)), ("mit/src/a.py", code), ("mit/src/b.py", None),
+        ("bsd/LICENSE.txt", "Copyright 2019 The Authors. All rights reserved.\n\n" + wrapped(text["BSD-3-Clause"][0])),
+        ("bsd2/COPYING", "Copyright 2019 The Authors\n\n" + wrapped(text["BSD-2-Clause"][0])),
+        ("ap/x.py", "# Copyright 2020 The Authors\n#\n" + wrapped(apache[-1], "# ") + code),
+        ("ap/y.c", "/*\n" + wrapped(apache[-1], " * ", 50) + "\n */" + code),
+        ("ap/LICENSE", "\n\n".join(["Apache License\nVersion 2.0, January 2004", wrapped(lorem(8, 900)), wrapped(apache[1], "   "), lorem(9, 60)])),
+        ("gpl/z.rs", wrapped(gpl, "// ") + code), ("gpl/long.txt", lorem(4, 500) + "\n\n" + wrapped(gpl) + "\n\n" + lorem(5, 500)),
+        ("gpl/w.rs", wrapped(lgpl, "-- ") + code), ("none/plain.txt", lorem(6, 500) + "\nthe software and the use of the license files"),
+        ("isc/LICENSE", wrapped(text["ISC"][0])), ("un/UNLICENSE", wrapped(text["Unlicense"][0])),
+    ]
+    got = {r.path: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {
+        "mit/LICENSE": ("MIT", "own"), "mit/src/a.py": ("MIT", "inherited"), "mit/src/b.py": ("MIT", "inherited"),
+        "bsd/LICENSE.txt": ("BSD-3-Clause", "own"), "bsd2/COPYING": ("BSD-2-Clause", "own"), "ap/x.py": ("Apache-2.0", "own"),
+        "ap/y.c": ("Apache-2.0", "own"), "ap/LICENSE": ("Apache-2.0", "own"), "gpl/z.rs": ("GPL-3.0", "own"), "gpl/long.txt": ("GPL-3.0", "own"),
+        "gpl/w.rs": ("LGPL-2.1", "own"), "none/plain.txt": (None, None), "isc/LICENSE": ("ISC", "own"), "un/UNLICENSE": ("Unlicense", "own"),
+    }
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 

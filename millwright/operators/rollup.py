@@ -25,13 +25,14 @@ class Rollup:
 
     def by(self, fact: DataFrame, *keys: str, extra: list[Column] | None = None) -> DataFrame:
         """Adds up the fact. Rows with a NULL key belong to no group."""
-        return self._added(_grouped(fact, keys), extra)
+        return self.added(_grouped(fact, keys), extra)
 
     def cells(self, fact: DataFrame, *keys: str, extra: list[Column] | None = None) -> DataFrame:
         """Adds up the fact by keys of which some summaries take only a few: a NULL key is kept as a key."""
-        return self._added(fact.groupBy(*keys), extra)
+        return self.added(fact.groupBy(*keys), extra)
 
-    def _added(self, grouped, extra: list[Column] | None) -> DataFrame:
+    def added(self, grouped, extra: list[Column] | None = None) -> DataFrame:
+        """Adds up a fact grouped in whatever way."""
         parts = [F.sum(column).alias(name) for name, column in self.sums.items()]
         for name, column in self.means.items():
             parts += [F.sum(column).alias(f"{name}_sum"), F.count(column).alias(f"{name}_n")]

@@ -19,25 +19,34 @@ from millwright.session import settle
 from millwright.sources.tables import FactoryTables
 
 KEYS = ("machine_id", "shift", "month")
-SUMS = Rollup(
-    {"total_units": "units_made", "total_defects": "units_defective", "total_downtime": "downtime_hrs", "lost": "lost"},
-    {"avg_downtime": "downtime_hrs", "avg_temp": "temperature", "avg_efficiency": "efficiency", "mean_defect_rate": "rate"},
-    "total_runs",
-)
+_SUMS = {"total_units": "units_made", "total_defects": "units_defective", "total_downtime": "downtime_hrs", "lost": "lost"}
+_MEANS = {"avg_downtime": "downtime_hrs", "avg_temp": "temperature"}
+#: What a cell holds of sums alone, and with the measures of the runs themselves, which cost more to take.
+PLAIN = Rollup(_SUMS, _MEANS, "total_runs")
+FULL = Rollup(_SUMS, {**_MEANS, "avg_efficiency": "efficiency", "mean_defect_rate": "rate"}, "total_runs")
 
 
 @dataclass(frozen=True)
 class Cells:
     """Runs that have all their dimensions, by machine, shift and month; rates and efficiencies of runs rounded to
-    ``digits``. ``table`` also has first_date, last_date and top_rate, the highest rate of a run."""
+    ``digits``. ``table`` also has first_date, last_date and, where ``sums`` is FULL, top_rate, the highest rate of a run."""
 
     table: DataFrame
     keys: tuple[str, ...]
     digits: int | None
+    sums: Rollup = FULL
+    #: Whether the table has the roll-ups by each single key and the total, told apart by ``set``, in place of cells.
+    singly: bool = False
+
+    def _by(self, *keys: str) -> DataFrame:
+        rows = self.table
+        if self.singly:
+            rows = rows.where(F.col("set") == sum(1 << (len(self.keys) - 1 - i) for i, k in enumerate(self.keys) if k not in keys))
+        return self.sums.finished(self.sums.again(rows, *keys, extra=_span()))
 
     def by(self, *keys: str) -> DataFrame:
         """Sums and means by some of the keys. Cells with a NULL key belong to no group."""
-        return SUMS.finished(SUMS.again(self.table, *keys, extra=_span()))
+        return self._by(*keys)
 
     def machines(self, t: FactoryTables) -> DataFrame:
         named = self.by("machine_id").join(dimension(t, "machines", ("machine_name", "department", "age_years")), "machine_id")
@@ -59,7 +68,9 @@ class Cells:
 
     def totals(self) -> DataFrame:
         """One row of sums and means over all cells, with what was lost and the span of dates."""
-        whole = SUMS.finished(SUMS.again(self.table, extra=_span()))
+        whole = self._by()
+        if self.sums is PLAIN:
+            whole = whole.withColumn("avg_efficiency", F.lit(None).cast("decimal(38,6)"))
         return whole.withColumnRenamed("lost", "total_revenue_lost").drop("mean_defect_rate")
 
     def highest_runs(self, t: FactoryTables, n: int) -> FactoryTables:
@@ -68,6 +79,8 @@ class Cells:
         They lie in the n cells whose highest runs are highest (and in cells level with the last of them). Where those are
         few, the machines and months are told to the scan, so the fact is not read again but looked up.
         """
+        if self.sums is PLAIN:
+            return t
         bound = self.table.select("top_rate").where("top_rate is not null").orderBy(F.desc("top_rate")).limit(n)
         low = bound.agg(F.min("top_rate").alias("low")).first().low
         if low is None:
@@ -103,15 +116,26 @@ def _rate(df: DataFrame, name: str = "defect_rate") -> DataFrame:
     return df.withColumn(name, metrics.rounded_ratio("total_defects", "total_units"))
 
 
-def cells(t: FactoryTables, keys: tuple[str, ...] = KEYS, digits: int | None = 2) -> Cells:
+def _added(t: FactoryTables, digits: int | None, sums: Rollup) -> tuple[DataFrame, list[Column]]:
+    """Runs with what a cell adds up, and what it holds beside the sums."""
+    derived = {"month": F.trunc("prod_date", "MM"), "lost": F.col("units_defective") * F.col("price_per_unit")}
+    extra = [F.min("prod_date").alias("first_date"), F.max("prod_date").alias("last_date")]
+    if sums is FULL:
+        derived |= {"efficiency": metrics.efficiency(digits), "rate": metrics.defect_rate(digits)}
+        extra.append(F.max("rate").alias("top_rate"))
+    return runs(t, "products").withColumns(derived), extra
+
+
+def cells(t: FactoryTables, keys: tuple[str, ...] = KEYS, digits: int | None = 2, sums: Rollup = FULL) -> Cells:
     """The cells of all runs that have a machine, an employee and a product, added up in one pass and settled."""
-    run = runs(t, "products").withColumns(
-        {
-            "month": F.trunc("prod_date", "MM"),
-            "efficiency": metrics.efficiency(digits),
-            "rate": metrics.defect_rate(digits),
-            "lost": F.col("units_defective") * F.col("price_per_unit"),
-        }
-    )
-    extra = [F.min("prod_date").alias("first_date"), F.max("prod_date").alias("last_date"), F.max("rate").alias("top_rate")]
-    return Cells(settle(SUMS.cells(run, *keys, extra=extra)), keys, digits)
+    run, extra = _added(t, digits, sums)
+    return Cells(settle(sums.cells(run, *keys, extra=extra)), keys, digits, sums)
+
+
+def single_keys(t: FactoryTables, keys: tuple[str, ...] = KEYS) -> Cells:
+    """The same for summaries by one key at a time: a task hands on a row a machine, a shift and a month, not one for
+    every three of them, so this is the smaller table where machines are many."""
+    run, extra = _added(t, None, PLAIN)
+    sets = run.groupingSets([*[[k] for k in keys], []], *keys)
+    table = PLAIN.added(sets, [*extra, F.grouping_id(*keys).alias("set")])
+    return Cells(settle(table), keys, None, PLAIN, singly=True)

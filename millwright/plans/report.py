@@ -12,7 +12,7 @@ from millwright.operators import ranking
 from millwright.operators.rollup import with_overall
 from millwright.operators.star import enriched_production
 from millwright.plans import summaries
-from millwright.plans.cells import Cells, cells
+from millwright.plans.cells import Cells, cells, single_keys
 from millwright.session import settle
 from millwright.sources.tables import FactoryTables
 
@@ -67,7 +67,7 @@ def month_status(t: FactoryTables, of: Cells | None = None) -> DataFrame:
 
 def best_worst_picks(t: FactoryTables, of: Cells | None = None) -> DataFrame:
     """(what, name, value): the best and worst machine, shift and month, from one pass over the runs."""
-    of = of or cells(t)
+    of = of or single_keys(t)
 
     def named(summary: DataFrame, what: str, rate: str, name: str, tie: str) -> DataFrame:
         pair = ranking.best_and_worst(summary, rate, [tie], [name, rate])
@@ -101,7 +101,7 @@ def insights(
             F.concat(*[column(p) for p in parts]).alias("message"),
         ]
 
-    of = of or cells(t)
+    of = of or single_keys(t)
     rate = F.format_number("defect_rate", 2)
     worst = F.col("which") == "worst"
     machines = ranking.best_and_worst(

@@ -266,3 +266,17 @@ def test_forest_rows_are_dealt_out_by_work(spark):
     visits = 2 * cores * model.VISITS
     assert model.spread(few, visits).rdd.getNumPartitions() == 1  # cut by size already
     assert model.spread(few, visits // model.TREES + model.VISITS, always=True).rdd.getNumPartitions() > 2 * cores
+
+
+def test_a_batch_is_read_once_to_be_numbered(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        read.add(1)
+        return ("a" if i % 3 else "b", i // 2)
+
+    batch = spark.createDataFrame(spark.sparkContext.parallelize(range(30), 3).map(row), "g string, v int")
+    found = rows(ordering.numbered(batch, ["g", "v"], "k").orderBy("k"))
+    assert read.value == 30
+    assert [r["k"] for r in found] == list(range(1, 31))
+    assert [(r["g"], r["v"]) for r in found] == sorted(("a" if i % 3 else "b", i // 2) for i in range(30))

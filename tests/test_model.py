@@ -6,7 +6,8 @@ import pytest
 from conftest import by, rows
 from pyspark.sql import functions as F
 
-from millwright.operators import model
+from catalog import shared
+from millwright.operators import model, star
 
 
 @pytest.fixture(scope="module")
@@ -189,3 +190,39 @@ def test_runs_without_a_rate_are_labelled_zero_and_divided(spark):
     assert model.split(unlabelled, ["prod_id"]).count() == 400
     with pytest.raises(Exception, match="no threshold"):
         model.with_label(run.where("defect_rate is null")).collect()
+
+
+def test_a_forest_gets_like_rows_together(labelled):
+    train = model.training_set(labelled)
+    own = [c for c in train.columns if c != model.LABEL]
+    for part in train.rdd.glom().collect():
+        keys = [tuple(r[c] for c in own) for r in part]
+        assert keys == sorted(keys)
+    assert train.count() == labelled.count()
+
+
+def test_kept_nodes_grow_the_same_trees(labelled, monkeypatch):
+    train = model.training_set(labelled)
+    kept = model.fit(train, trees=5)
+    assert kept.stages[-1].getCacheNodeIds()
+    monkeypatch.setattr(model, "KEPT_ROWS", 10)
+    looked_up = model.fit(train, trees=5)
+    assert not looked_up.stages[-1].getCacheNodeIds()
+    assert kept.stages[-1].toDebugString.split("\n")[1:] == looked_up.stages[-1].toDebugString.split("\n")[1:]
+
+
+def test_a_bucket_made_before_divides_the_same(labelled):
+    bucketed = model.with_bucket(labelled, ["prod_id"])
+    for divide, out in ((model.split, "is_test"), (model.with_fold, "fold")):
+        want = by(divide(labelled, ["prod_id"]), "prod_id")
+        found = by(divide(bucketed, None), "prod_id")
+        assert {k: r[out] for k, r in found.items()} == {k: r[out] for k, r in want.items()}
+
+
+def test_runs_of_the_model_are_joined_once(spark):
+    folder = "/root/testdata/sf0.001"
+    own = spark._jvm.PythonSQLUtils
+    for df in (shared.labelled_runs(spark, folder), shared.split_runs(spark, folder)):
+        assert "l_shipdate" not in own.explainString(df._jdf.queryExecution(), "formatted")
+    want = star.enriched_production(shared.factory(spark, folder)).select(*shared.RUN_COLUMNS)
+    assert sorted(map(str, rows(shared.model_runs(spark, folder).drop(model.BUCKET)))) == sorted(map(str, rows(want)))

@@ -268,15 +268,19 @@ def test_forest_rows_are_dealt_out_by_work(spark):
     assert model.spread(few, visits // model.TREES + model.VISITS, always=True).rdd.getNumPartitions() > 2 * cores
 
 
-def test_a_batch_is_read_once_to_be_numbered(spark):
+def test_a_batch_is_read_once_to_be_numbered(spark, tmp_path):
     read = spark.sparkContext.accumulator(0)
 
-    def row(i):
+    @F.udf("string")
+    def counted(value):
         read.add(1)
-        return ("a" if i % 3 else "b", i // 2)
+        return value
 
-    batch = spark.createDataFrame(spark.sparkContext.parallelize(range(30), 3).map(row), "g string, v int")
+    values = [("a" if i % 3 else "b", i // 2) for i in range(30)]
+    path = tmp_path / "batch.csv"
+    path.write_text("".join(f"{g},{v}\n" for g, v in values))
+    batch = spark.read.schema("g string, v int").csv(str(path)).withColumn("g", counted("g"))
     found = rows(ordering.numbered(batch, ["g", "v"], "k").orderBy("k"))
     assert read.value == 30
     assert [r["k"] for r in found] == list(range(1, 31))
-    assert [(r["g"], r["v"]) for r in found] == sorted(("a" if i % 3 else "b", i // 2) for i in range(30))
+    assert [(r["g"], r["v"]) for r in found] == sorted(values)

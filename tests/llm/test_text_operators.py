@@ -354,6 +354,24 @@ def test_license_scan_finds_texts_and_wrapped_headers(spark):
     }
 
 
+def test_license_scan_joins_a_term_to_one_row_of_weights(spark, monkeypatch):
+    """However many templates have a word, a unit's word stays one row, also where every file has the same notice."""
+    joined = []
+
+    def join(left, right, on=None, how=None, real=type(spark.range(1)).join):
+        out = real(left, right, on, how)
+        if on == "term" and "kind" in left.columns:
+            joined.append((left.count(), out.count()))
+        return out
+
+    templates = [(f"L{i}", f"released under the common licence number{i}") for i in range(20)]
+    docs = spark.createDataFrame([(f"d{i}/x.txt", "Released under the common licence number7.\n") for i in range(30)], "path string, text string")
+    monkeypatch.setattr(type(docs), "join", join)
+    got = license_scan.scan(docs, templates=templates).collect()
+    assert [(r.license, r.cosine) for r in got] == [("L7", 1.0)] * 30
+    assert joined and all(out <= before for before, out in joined)
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 

@@ -201,6 +201,15 @@ def test_a_forest_gets_like_rows_together(labelled):
     assert train.count() == labelled.count()
 
 
+def test_a_forest_grows_in_few_large_tasks(spark, labelled, monkeypatch):
+    """Every task of a level sends the counts of all nodes, so a forest's tasks are larger than those that only score."""
+    least = 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(model, "VISITS", 1500)  # 1,500 rows would be dealt to 100 tasks
+    assert model.training_set(labelled).rdd.getNumPartitions() == least
+    monkeypatch.setattr(model, "GROWING_VISITS", 1500)
+    assert model.training_set(labelled).rdd.getNumPartitions() == 100
+
+
 def test_kept_nodes_grow_the_same_trees(labelled, monkeypatch):
     train = model.training_set(labelled)
     kept = model.fit(train, trees=5)

@@ -235,3 +235,33 @@ def test_runs_of_the_model_are_joined_once(spark):
         assert "l_shipdate" not in own.explainString(df._jdf.queryExecution(), "formatted")
     want = star.enriched_production(shared.factory(spark, folder)).select(*shared.RUN_COLUMNS)
     assert sorted(map(str, rows(shared.model_runs(spark, folder).drop(model.BUCKET)))) == sorted(map(str, rows(want)))
+
+
+def test_the_split_writes_no_second_copy(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(shared, "_settled", {})
+    parts = shared.split_runs(spark, folder)
+    assert parts.inputFiles() == shared.model_runs(spark, folder).inputFiles()
+    # The threshold and the cuts are kept: reading the parts counts nothing again.
+    assert "Aggregate" not in spark._jvm.PythonSQLUtils.explainString(parts._jdf.queryExecution(), "formatted")
+
+
+def test_scored_rows_lie_alike_in_full_rounds(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(shared, "_settled", {})
+    forest = model.fit(model.training_set(shared.split_runs(spark, folder).where("not is_test")), trees=3)
+    monkeypatch.setattr(shared, "trained_model", lambda *_: forest)
+    scored = shared.scored_test_runs(spark, folder)
+    assert scored.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    for part in scored.rdd.glom().collect():
+        keys = [(r.temperature, r.pressure, r.downtime_hrs) for r in part]
+        assert keys == sorted(keys)
+    want = model.model_input(shared.split_runs(spark, folder).where("is_test"))  # scored inputs are doubles
+    key = [*shared.RUN_KEY, model.LABEL]
+    assert sorted(map(str, rows(scored.select(*key)))) == sorted(map(str, rows(want.select(*key))))
+
+
+def test_a_forest_is_dealt_out_in_full_rounds(spark):
+    cores = spark.sparkContext.defaultParallelism
+    visits = (2 * cores + 1) * model.VISITS // model.TREES
+    assert model.spread(spark.range(1000), visits, always=True).rdd.getNumPartitions() == 3 * cores

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millwright.llm import (
@@ -481,6 +482,22 @@ def test_substring_dedup_equals_brute_force(spark):
     assert substring_dedup.report(frame(spark, [])).count() == 0
 
 
+def test_stretches_are_shuffled_once(spark):
+    passage = "The quick brown fox jumps over the lazy dog while the band plays on and on."
+    rows = [(i, f"{i} says: {passage} {i * 7919}") for i in range(40)]
+    runs = substring_dedup.repeats(frame(spark, rows))
+    plan = spark._jvm.PythonSQLUtils.explainString(runs._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange hashpartitioning(anchor") == 1
+    assert runs.count() == 39
+    batch = pa.RecordBatch.from_pylist([
+        {"anchor": 1, "h1": 5, "h2": h2, "doc": doc, "bytes": b"x%d" % h2} for doc, h2 in ((9, 6), (3, 6), (4, 7), (12, 6))
+    ])
+    sent = [r for b in substring_dedup._merged([batch]) for r in b.to_pylist()]
+    assert sent == [
+        {"anchor": 1, "h1": 5, "h2": 6, "lo": 3, "hi": 12, "bytes": b"x6"}, {"anchor": 1, "h1": 5, "h2": 7, "lo": 4, "hi": 4, "bytes": b"x7"},
+    ]
+
+
 def test_run_length_index():
     strings = [b"banana" * 3, b"bananas and ananas", b"nab"]
     index = substring_dedup.RunLengthIndex(strings)

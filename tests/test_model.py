@@ -6,7 +6,7 @@ import pytest
 from conftest import by, rows
 from pyspark.sql import functions as F
 
-from catalog import shared
+from catalog import queries, shared
 from millwright.operators import model, star
 
 
@@ -265,3 +265,23 @@ def test_a_forest_is_dealt_out_in_full_rounds(spark):
     cores = spark.sparkContext.defaultParallelism
     visits = (2 * cores + 1) * model.VISITS // model.TREES
     assert model.spread(spark.range(1000), visits, always=True).rdd.getNumPartitions() == 3 * cores
+
+
+@pytest.fixture
+def small_forest(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(shared, "_settled", {})
+    forest = model.fit(model.training_set(shared.split_runs(spark, folder).where("not is_test")), trees=3)
+    monkeypatch.setattr(shared, "trained_model", lambda *_: forest)
+    return folder
+
+
+def test_a_sample_scores_only_its_rows(spark, small_forest, monkeypatch):
+    want = rows(model.prediction_sample(shared.scored_test_runs(spark, small_forest), shared.RUN_KEY))
+    scored, score = [], model.score
+    monkeypatch.setattr(model, "score", lambda forest, df: scored.append(df.count()) or score(forest, df))
+    for name in ("prediction_sample", "sample_checks"):
+        got = rows(queries.queries()[name](spark, small_forest))
+        assert [r["sample"] for r in got] == list(range(60)) and all(r.get("consistent", True) for r in got)
+        assert name != "prediction_sample" or got == want
+    assert scored == [60, 60]

@@ -285,3 +285,16 @@ def test_a_sample_scores_only_its_rows(spark, small_forest, monkeypatch):
         assert [r["sample"] for r in got] == list(range(60)) and all(r.get("consistent", True) for r in got)
         assert name != "prediction_sample" or got == want
     assert scored == [60, 60]
+
+
+def test_scores_are_checked_where_they_lie(spark, small_forest, monkeypatch):
+    dealt, deal = [], shared.test_runs
+    monkeypatch.setattr(shared, "test_runs", lambda *of: dealt.append(of) or deal(*of))
+    checks = queries.queries()["model_checks"]
+    scored = shared.scored_test_runs(spark, small_forest)
+    found = rows(checks(spark, small_forest))[0]
+    assert len(dealt) == 1 and (found["scored"], found["changed_scores"]) == (scored.count(), 0)
+    # A score that is not what the loaded forest gives is found.
+    wrong = F.col("units_made") == 20
+    monkeypatch.setattr(shared, "scored_test_runs", lambda *_: scored.withColumn(model.PROBABILITY, F.col(model.PROBABILITY) + F.when(wrong, 1e-6).otherwise(0)))
+    assert rows(checks(spark, small_forest))[0]["changed_scores"] == scored.where(wrong).count() > 0

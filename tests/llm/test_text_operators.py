@@ -186,6 +186,35 @@ def test_line_dedup_finds_every_short_line_one_edit_apart(spark):
     assert got == want and len(rows) - 3 in want and len(rows) - 1 not in want
 
 
+def test_line_dedup_compares_no_pair_twice(spark, monkeypatch):
+    """Lines that share a passage but are unlike meet once; that they are not linked is not found out again."""
+    rng = np.random.default_rng(5)
+    passage = "the harbour committee approved the northern extension "
+    rows = [(i, passage + " ".join("".join(chr(97 + int(x)) for x in rng.integers(0, 26, 5)) for _ in range(9))) for i in range(60)]
+    rows.append((60, rows[0][1] + "z"))
+    compared, verified = [], line_dedup._verified
+    monkeypatch.setattr(
+        line_dedup, "_verified", lambda pairs, texts: compared.append({(r.a, r.b) for r in pairs.collect()}) or verified(pairs, texts)
+    )
+    gone = {r.doc_id for r in line_dedup.report(frame(spark, rows)).where("n_removed > 0").collect()}
+    assert gone == {60} and len(compared) == 2 and len(compared[0]) > 10 and not compared[0] & compared[1]
+
+
+def test_line_dedup_sketches_are_the_smallest_hashes_of_all_grams(spark):
+    rng = np.random.default_rng(6)
+    forms = ["".join(letters[int(x)] for x in rng.integers(0, len(letters), n)) for letters in ("ab", "abcdefgh tion", "aé字x") for n in (5, 9, 26, 39, 45, 300, 3000)]
+    lines = spark.createDataFrame([(0, i, x, 0, 0) for i, x in enumerate(forms)], "doc long, line int, form string, h1 long, h2 long")
+    got = {r.line: r for r in line_dedup._hashed(lines).collect()}
+    for name, (gram, least, most) in line_dedup.GRAMS.items():
+        # Round the end: a form, a blank, and the form's beginning.
+        hashes = lines.selectExpr(
+            "line", "form", f"transform(sequence(1, length(form) + 1), i -> xxhash64(substring(concat(form, ' ', substring(form, 1, {gram - 1})), i, {gram}))) as h"
+        )
+        for r in hashes.collect():
+            fits = least <= len(r.form) <= (most or len(r.form))
+            assert got[r.line][name] == ([h & 0x7FFFFFFF for h in sorted(set(r.h))[: line_dedup.SKETCH]] if fits else None)
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     docs = frame(spark, [(1, "one line of text"), (2, "one line of text\nand more of it")]).selectExpr("*", "1 as _gone", "2 as gone", "3 as of", "4 as _kept", "5 as g")
     got = line_dedup.dedup(docs)

@@ -116,14 +116,14 @@ def _rate(df: DataFrame, name: str = "defect_rate") -> DataFrame:
     return df.withColumn(name, metrics.rounded_ratio("total_defects", "total_units"))
 
 
-def _added(t: FactoryTables, digits: int | None, sums: Rollup) -> tuple[DataFrame, list[Column]]:
+def _added(t: FactoryTables, digits: int | None, sums: Rollup, joined: DataFrame | None = None) -> tuple[DataFrame, list[Column]]:
     """Runs with what a cell adds up, and what it holds beside the sums."""
     derived = {"month": F.trunc("prod_date", "MM"), "lost": F.col("units_defective") * F.col("price_per_unit")}
     extra = [F.min("prod_date").alias("first_date"), F.max("prod_date").alias("last_date")]
     if sums is FULL:
         derived |= {"efficiency": metrics.efficiency(digits), "rate": metrics.defect_rate(digits)}
         extra.append(F.max("rate").alias("top_rate"))
-    return runs(t, "products").withColumns(derived), extra
+    return (runs(t, "products") if joined is None else joined).withColumns(derived), extra
 
 
 def cells(t: FactoryTables, keys: tuple[str, ...] = KEYS, digits: int | None = 2, sums: Rollup = FULL) -> Cells:
@@ -132,10 +132,11 @@ def cells(t: FactoryTables, keys: tuple[str, ...] = KEYS, digits: int | None = 2
     return Cells(settle(sums.cells(run, *keys, extra=extra)), keys, digits, sums)
 
 
-def single_keys(t: FactoryTables, keys: tuple[str, ...] = KEYS) -> Cells:
+def single_keys(t: FactoryTables, keys: tuple[str, ...] = KEYS, joined: DataFrame | None = None) -> Cells:
     """The same for summaries by one key at a time: a task hands on a row a machine, a shift and a month, not one for
-    every three of them, so this is the smaller table where machines are many."""
-    run, extra = _added(t, None, PLAIN)
+    every three of them, so this is the smaller table where machines are many. ``joined`` are the runs that have all their
+    dimensions, with their product's price, where a caller keeps them."""
+    run, extra = _added(t, None, PLAIN, joined)
     sets = run.groupingSets([*[[k] for k in keys], []], *keys)
     table = PLAIN.added(sets, [*extra, F.grouping_id(*keys).alias("set")])
     return Cells(settle(table), keys, None, PLAIN, singly=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog import queries, shared
 from millwright.operators import model, star
+from millwright.plans import cells, report
 
 
 @pytest.fixture(scope="module")
@@ -298,3 +299,11 @@ def test_scores_are_checked_where_they_lie(spark, small_forest, monkeypatch):
     wrong = F.col("units_made") == 20
     monkeypatch.setattr(shared, "scored_test_runs", lambda *_: scored.withColumn(model.PROBABILITY, F.col(model.PROBABILITY) + F.when(wrong, 1e-6).otherwise(0)))
     assert rows(checks(spark, small_forest))[0]["changed_scores"] == scored.where(wrong).count() > 0
+
+
+def test_insights_add_up_the_runs_that_the_forest_joined(spark, small_forest, monkeypatch):
+    t = shared.factory(spark, small_forest)
+    want = rows(report.insights(t, queries._importance(spark, small_forest)))
+    monkeypatch.setattr(cells, "runs", lambda *_: pytest.fail("the runs are joined a second time"))
+    got = rows(queries.queries()["model_insights"](spark, small_forest))
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 6

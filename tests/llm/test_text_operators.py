@@ -438,6 +438,29 @@ def test_search_is_exact_over_shards(spark):
     assert search.search(docs, frame(spark, [])).count() == 0
 
 
+def test_search_asks_in_parts_and_hands_on_k_rows_a_task(spark, monkeypatch):
+    """Queries come in several broadcasts, and what a query found in one shard is its bar in the next."""
+    rows = [(i, lorem(i, 5 + i % 40, 60)) for i in range(1, 300)]
+    asked = [(i, t) for i, t in rows if i % 10 == 0]
+    monkeypatch.setattr(search, "ASKED", 2000)
+    parts, searched = [], search._searched
+    monkeypatch.setattr(search, "_searched", lambda *of: parts.append(of[-1]) or searched(*of))
+    got = search.search(frame(spark, rows), frame(spark, asked), k=5, shard=100)  # some 60 shards
+    assert Counter(map(tuple, got.collect())) == brute_search(rows, asked, 5)
+    assert len(parts[0]) > 3 and sum(len(p.value) for p in parts[0]) == len(asked)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no query is multiplied by the shards
+    mean = sum(len(words(t)) for _, t in rows) / len(rows)
+    shards = [pa.RecordBatch.from_arrays([pa.array([i // 50] * 50), pa.array([k for k, _ in rows[i : i + 50]]), pa.array([t for _, t in rows[i : i + 50]])],
+                                         ["shard", "id", "text"]) for i in range(0, 250, 50)]
+    found = pa.Table.from_batches(searched(len(rows), mean, 5, parts[0])(shards)).to_pylist()
+    assert len(found) == 5 * len(asked)  # of five shards, not 25 a query
+    want = Counter()
+    for query, text in asked:
+        best = [(d, s) for q, _, d, s in brute_search(rows, [(query, text)], 300) if d <= 250]
+        want.update((query, d, s) for d, s in sorted(best, key=lambda x: (-x[1], x[0]))[:5])
+    assert Counter((r["query"], r["doc"], r["score"]) for r in found) == want
+
+
 def shard_index(docs, mean):
     """An index of (key, {term: times}) documents."""
     each = [(np.array(sorted(d), np.uint64), np.array([d[t] for t in sorted(d)], float)) for _, d in docs]
